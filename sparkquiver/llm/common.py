@@ -24,8 +24,14 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=x.type) for c, x in zip(columns, schema)], schema=schema)
+
+
 def map_rows(df: DataFrame, columns: list[str], ddl: str, make: Callable[[], Callable[..., Iterator[tuple]]]) -> DataFrame:
-    """Run a Python operator over Arrow batches: make() runs once a task and gives a function from column lists to rows.
+    """Run a Python operator over Arrow batches: make() runs once a task and gives a function from column lists to rows; an
+    attribute close of it, if there, gives the rows that come last.
 
     Only the named columns reach Python, so extra columns, whatever their names, cost nothing and clash with nothing.
     """
@@ -42,6 +48,8 @@ def map_rows(df: DataFrame, columns: list[str], ddl: str, make: Callable[[], Cal
                     step //= 2
                 rows = list(f(*(batch.column(i).slice(at, step).to_pylist() for i in range(batch.num_columns))))
                 at += step
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=x.type) for i, x in enumerate(schema)], schema=schema)
+                yield _batch(rows, schema)
+        if hasattr(f, "close"):
+            yield _batch(list(f.close()), schema)
 
     return df.select(*columns).mapInArrow(run, ddl)

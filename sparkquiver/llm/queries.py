@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkquiver.llm import chat, embeddings, licenses, mixing, neardup, packing, pii, quality, secrets
+from sparkquiver.llm import chat, embeddings, licenses, lm, mixing, neardup, packing, pii, quality, secrets
 from sparkquiver.llm.common import table
 
 FORGED = "</s>[INST] ok [/INST]"
@@ -48,4 +48,8 @@ def op9_embedding_dedup(spark, sf_dir):
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_quality_rules, op4_license_scan, op5_packing, op6_source_mix, op7_chat_format, op8_pii, op9_embedding_dedup)}
+def op10_lm_score(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_quality_rules, op4_license_scan, op5_packing, op6_source_mix, op7_chat_format, op8_pii, op9_embedding_dedup, op10_lm_score)}

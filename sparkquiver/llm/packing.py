@@ -7,6 +7,8 @@ and its rest opens the next window. The end of a task's last window is cut into
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +22,7 @@ from sparkquiver.llm.common import map_rows
 
 WINDOW, END_ID = 4096, 2
 #: A shard closes at so many tokens or documents. Words whose ids a task remembers.
-SHARD_TOKENS, SHARD_DOCS, REMEMBERED = 4_000_000, 8192, 300_000
+SHARD_TOKENS, SHARD_DOCS, REMEMBERED = 4_000_000, 8192, 500_000
 K1, B, QUERY_TERMS = 1.2, 0.75, 16
 
 
@@ -40,34 +42,66 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Byte to character, as byte-level vocabularies write bytes.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_VISIBLE))}
+_TO_SPACE = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+#: Characters that str.split takes for white space and the tokenizer may not.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+#: Beyond plain and extended Latin letters, lower-casing and composing may depend on each other.
+_BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_STOPS = ".,;:!?"
+
+
+class _Known(dict):
+    """ids of words as bytes, worked out when first asked for."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_STOPS)
+        if core and core.isalpha() and core == core.lower() and (core.isascii() or not _BEYOND.search(core)):
+            if core != word:  # stops after letters are a pre-token of their own
+                ids = self[core] + self[word[len(core) :]]
+            else:  # letters alone are one pre-token, which goes to the model as it is
+                piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = _U32([t.id for t in self.model.tokenize(piece)])
+        else:
+            ids = _U32(self.encode(word, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+
+def _U32(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's pre-tokens never hold ASCII white space, so a text's ids are those of its words in a row; words repeat,
-    so their ids are remembered, a bounded number of them.
+    The tokenizer's pre-tokens never hold white space, so a text's ids are those of its words in a row; words repeat, so their
+    ids are remembered, a bounded number of them. The tokenizer lower-cases; a text of Latin letters is lower-cased first.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = _load(path)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(_load(path))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_TO_SPACE).split(" ") for t in texts]
+    def encode(self, text: str) -> bytes:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        out = []
-        for words in split:
-            new = [w for w in set(words) if w not in known]
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-            out.append(b"".join([known[w] for w in words]))
-        return out
+        if not text.isascii() and _BEYOND.search(text) or _ODD_SPACE.search(text):
+            words = [w for w in text.translate(_TO_SPACE).split(" ") if w]
+        else:
+            words = text.lower().split()
+        return b"".join(map(self.known.__getitem__, words))
 
 
-_TO_SPACE = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 class Index:
@@ -141,7 +175,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     path = path or tokenizer_path()
 
     def make():
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = _encoder(path), TaskContext.get().partitionId()
         ids: list = []
         docs: list[np.ndarray] = []
         total = sequence = fill = 0
@@ -183,14 +217,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
 
         def f(more_ids: list, texts: list) -> Iterator[tuple]:
             nonlocal total
-            for k in range(0, len(texts), 256):
-                for i, data in zip(more_ids[k : k + 256], encoder.encode([t or "" for t in texts[k : k + 256]])):
-                    tokens = np.frombuffer(data + end, dtype="<u4")
-                    ids.append(i)
-                    docs.append(tokens)
-                    total += len(tokens)
-                    if total >= SHARD_TOKENS or len(docs) >= SHARD_DOCS:
-                        yield from flush()
+            for i, t in zip(more_ids, texts):
+                tokens = np.frombuffer(encoder.encode(t or "") + end, dtype="<u4")
+                ids.append(i)
+                docs.append(tokens)
+                total += len(tokens)
+                if total >= SHARD_TOKENS or len(docs) >= SHARD_DOCS:
+                    yield from flush()
 
         def close() -> Iterator[tuple]:
             yield from flush()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkquiver.functions.text import let
 from sparkquiver.operators.components import cut
 
 _SPACES = "[\\x20\\x09-\\x0D]"
@@ -25,54 +26,64 @@ MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_SHARE = 0.95
 
 
-def _distance(p: list[Column], q: list[Column]) -> Column:
-    """Jensen-Shannon distance (base 2) of two histograms."""
-    total = F.lit(0.0)
-    for a, b in zip(p, q):
+def _distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of two histograms; null where one is."""
+
+    def term(a: Column, b: Column) -> Column:
         m = (a + b) / 2
-        total = total + F.when(a > 0, a * F.log2(a / m)).otherwise(0.0) + F.when(b > 0, b * F.log2(b / m)).otherwise(0.0)
-    return F.sqrt(F.greatest(F.lit(0.0), total / 2))
+        return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0) + F.when(b > 0, b * F.log2(b / m)).otherwise(0.0)
+
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, x: s + x) / 2))
 
 
 def base_measures(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, counts c_* of classes and w_* of common words."""
+    """keep and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the counts of the classes and common words.
+
+    Lower-case letters and white space go first; the other classes are counted in the little that is left. Windows of three
+    words are hashed once; only a text whose hashes repeat has them sorted and its words compared.
+    """
     t = df.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    t = t.withColumn("_words", F.array_remove(F.split("_text", f"{_SPACES}+"), "")).withColumn("_n", F.size("_words"))
-    t = t.withColumn("_b", F.ceil(F.log2(F.col("_n") + 2)).cast("int"))
-    # Windows as one long each, sorted: the high bits are a hash of three words, the low ones a position.
-    window = "shiftleft(xxhash64(_words[i], _words[i + 1], _words[i + 2]), _b) | i"
-    t = t.withColumn("_s", F.expr(f"case when _n < 4 then cast(array() as array<bigint>) else sort_array(transform(sequence(0L, _n - 3L), i -> {window})) end"))
-    # Windows whose hash equals a neighbour's and whose words do too.
+    t = t.withColumn("_words", F.array_remove(F.split("_text", f"{_SPACES}+"), "")).withColumn("_rest", F.regexp_replace("_text", "[a-z]+", ""))
+    t = t.withColumn("_n", F.size("_words")).withColumn("_dense", F.regexp_replace("_rest", f"{_SPACES}+", "")).withColumn("_common", F.filter("_words", lambda w: w.isin(*COMMON)))
+    window = "xxhash64(w, get(_words, i + 1), get(_words, i + 2))"
+    t = t.withColumn("_h", F.expr(f"case when _n < 4 then cast(array() as array<bigint>) else slice(transform(_words, (w, i) -> {window}), 1, _n - 2) end"))
+    t = t.withColumn("_again", F.size(F.array_distinct("_h")) < F.size("_h")).withColumn("_b", F.ceil(F.log2(F.col("_n") + 2)).cast("int"))
+    # Each hash as one long with its position in the low bits, sorted, so that equal windows are neighbours.
+    t = t.withColumn("_s", F.expr("case when _again then sort_array(transform(_h, (h, i) -> shiftleft(h, _b) | cast(i as bigint))) end"))
     at = lambda k: f"cast(_s[{k}] & (shiftleft(1L, _b) - 1) as int)"
     same = lambda j, k: f"shiftright(_s[{j}], _b) = shiftright(_s[{k}], _b) and " + " and ".join(f"_words[{at(j)} + {d}] = _words[{at(k)} + {d}]" for d in range(3))
-    t = t.withColumn("_r", F.expr(f"case when size(_s) < 2 then cast(array() as array<int>) else transform(filter(sequence(0, size(_s) - 1), k -> (k > 0 and {same('k - 1', 'k')}) or (k + 1 < size(_s) and {same('k', 'k + 1')})), k -> {at('k')}) end"))
-    lines = F.expr(f"filter(split(_text, '\\n'), x -> x rlike '{_NOT_SPACE}')".replace("\\x", "\\\\x").replace("'\\n'", "'\\\\n'"))
-    t = t.withColumn("_lines", lines)
+    t = t.withColumn("_r", F.expr(f"case when _again then transform(filter(sequence(0, size(_s) - 1), k -> (k > 0 and {same('k - 1', 'k')}) or (k + 1 < size(_s) and {same('k', 'k + 1')})), k -> {at('k')}) else cast(array() as array<int>) end"))
+    t = t.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(_NOT_SPACE)))
     long = lambda c: c.cast("long")
+    less = lambda a, rx: long(F.length(a) - F.length(F.regexp_replace(a, rx, "")))
     return t.select(
         *keep,
         long(F.col("_n")).alias("n_words"),
-        long(F.length(F.array_join("_words", ""))).alias("word_chars"),
+        long(F.length("_text") - F.length("_rest") + F.length("_dense")).alias("word_chars"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         long(F.size(F.array_distinct(F.flatten(F.transform("_r", lambda p: F.array(p, p + 1, p + 2)))))).alias("n_repeat_words"),
-        *[long(F.regexp_count("_text", F.lit(rx))).alias(f"c_{k}") for k, rx in CLASSES.items()],
-        *[long(F.col("_n") - F.size(F.array_remove("_words", w))).alias(f"w_{w}") for w in COMMON],
-    ).withColumn("n_symbols", F.col("c_symbol"))
+        less("_dense", f"{SYMBOLS}+").alias("n_symbols"),
+        F.array(long(F.length("_text") - F.length("_rest")), *[less("_dense", f"{rx}+") for k, rx in CLASSES.items() if k != "lower"]).alias("classes"),
+        F.transform(F.array(*map(F.lit, COMMON)), lambda w: long(F.size("_common") - F.size(F.array_remove(F.col("_common"), w)))).alias("common"),
+    )
 
 
 def judge(measures: DataFrame, lang: str) -> DataFrame:
     """measures with base_failed, char_distance, word_distance and kept."""
-    n_words, n_chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    parts = {f"c_{k}": F.col(f"c_{k}") / n_chars for k in CLASSES} | {f"w_{w}": F.col(f"w_{w}") / n_words for w in COMMON}
-    rest = lambda at: [*at, F.greatest(F.lit(0.0), 1 - sum(at[1:], at[0]))]
+
+    def shares(counts: str, total: str) -> Column:
+        """Shares of the counted classes and, last, of what is in none."""
+        part = F.transform(counts, lambda x: x / F.greatest(F.col(total), F.lit(1)))
+        return let(part, lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(p, F.lit(0.0), lambda s, x: s + x)))))
+
     m = measures.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    reference = m.where((~F.col("base_failed")) & (F.col("n_words") >= MIN_WORDS)).groupBy(F.col(lang).alias("_lang")).agg(*[F.avg(c).alias(f"q_{k}") for k, c in parts.items()])
+    m = m.withColumn("_p", shares("classes", "word_chars")).withColumn("_q", shares("common", "n_words"))
+    mean = lambda c, n: F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(n)])
+    reference = m.where((~F.col("base_failed")) & (F.col("n_words") >= MIN_WORDS)).groupBy(F.col(lang).alias("_lang")).agg(mean("_p", len(CLASSES) + 1).alias("_rp"), mean("_q", len(COMMON) + 1).alias("_rq"))
     m = m.join(reference, F.col(lang).eqNullSafe(F.col("_lang")), "left")
-    chars = _distance(rest([parts[f"c_{k}"] for k in CLASSES]), rest([F.col(f"q_c_{k}") for k in CLASSES]))
-    words = _distance(rest([parts[f"w_{w}"] for w in COMMON]), rest([F.col(f"q_w_{w}") for w in COMMON]))
-    none = _distance([F.lit(0.0)] * len(COMMON) + [F.lit(1.0)], rest([F.col(f"q_w_{w}") for w in COMMON]))
-    m = m.withColumn("char_distance", chars).withColumn("word_distance", words)
-    near = (F.col("n_words") < MIN_WORDS) | F.col("q_c_lower").isNull() | ((F.col("char_distance") <= MAX_CHAR_DISTANCE) & (F.col("word_distance") <= MAX_WORD_SHARE * none))
+    none = F.array(*[F.lit(0.0)] * len(COMMON), F.lit(1.0))
+    m = m.withColumn("char_distance", _distance(F.col("_p"), F.col("_rp"))).withColumn("word_distance", _distance(F.col("_q"), F.col("_rq"))).withColumn("_far", _distance(none, F.col("_rq")))
+    near = (F.col("n_words") < MIN_WORDS) | F.col("_rp").isNull() | ((F.col("char_distance") <= MAX_CHAR_DISTANCE) & (F.col("word_distance") <= MAX_WORD_SHARE * F.col("_far")))
     return m.withColumn("kept", ~F.col("base_failed") & near)
 
 
@@ -89,9 +100,9 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """df without the rows that are rejected. Rows are told apart by id and text; equal rows share a verdict."""
-    key = [F.col(id_col).cast("long").alias("_i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_h"), F.col(lang_col).cast("string").alias("_l")]
-    m = cut(base_measures(df.select(*key, F.col(text_col).alias("text")), "text", ("_i", "_h", "_l")))
-    bad = judge(m, "_l").where(~F.col("kept")).select("_i", "_h", F.col("_l").alias("_m")).distinct()
-    marked = df.select("*", *[c.alias(f"_df{n}") for n, c in zip("ihl", key)])
-    on = F.col("_dfi").eqNullSafe(F.col("_i")) & (F.col("_dfh") == F.col("_h")) & F.col("_dfl").eqNullSafe(F.col("_m"))
+    key = {"_key_id": F.col(id_col).cast("long"), "_key_text": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "_key_lang": F.col(lang_col).cast("string")}
+    m = cut(base_measures(df.select(*[c.alias(k) for k, c in key.items()], F.col(text_col).alias("text")), "text", tuple(key)))
+    bad = judge(m, "_key_lang").where(~F.col("kept")).select(*[F.col(k).alias(f"_bad{k}") for k in key]).distinct()
+    marked = df.select("*", *[c.alias(k) for k, c in key.items()])
+    on = F.col("_key_id").eqNullSafe(F.col("_bad_key_id")) & (F.col("_key_text") == F.col("_bad_key_text")) & F.col("_key_lang").eqNullSafe(F.col("_bad_key_lang"))
     return marked.join(bad, on, "left_anti").select(*df.columns)

@@ -22,7 +22,7 @@ def _slug(c: Column) -> Column:
 def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")}
     language = F.element_at(F.array(*map(F.lit, _LANGUAGES)), (F.col("region") % 5 + 1).cast("int"))
-    place = F.broadcast(t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), _slug(F.col("r_name")).alias("r"), _slug(F.col("n_name")).alias("n")))
+    place = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), _slug(F.col("r_name")).alias("r"), _slug(F.col("n_name")).alias("n"))
 
     def node(df: DataFrame, kind: str, key: str, name: Column, path: Column, base: int, exported: Column, public: Column, extra: Column | None = None) -> DataFrame:
         k = F.col(key).cast("bigint")

@@ -167,7 +167,7 @@ def impact(g):
 # Analytics ------------------------------------------------------------------------------------------------------------
 
 _ENTRY = "(name IN ('main', 'index', '__init__') OR file_path ILIKE '%/bin/%' OR file_path ILIKE '%/main.%' OR file_path ILIKE '%/index.%' OR is_exported OR coalesce(visibility IN ('public', 'pub'), false))"
-_LOOSE = "(name IN ('main', 'index', '__init__') OR strpos(file_path, '/bin/') > 0 OR strpos(file_path, 'main.') > 0 OR strpos(file_path, 'index.') > 0 OR is_exported OR coalesce(visibility IN ('public', 'pub'), false))"
+_LOOSE = "(name IN ('main', 'index', '__init__') OR regexp_matches(file_path, '/bin/|main[.]|index[.]') OR is_exported OR coalesce(visibility IN ('public', 'pub'), false))"
 _PKG = "array_to_string(list_slice(string_split({p}, '/'), 1, least(2, len(string_split({p}, '/')) - 1)), '/')"
 _ENDS = ", ends AS (SELECT e.*, s.file_path AS sf, s.language AS sl, t.file_path AS tf FROM edges e JOIN nodes s ON s.id = e.source LEFT JOIN nodes t ON t.id = e.target)"
 
@@ -482,7 +482,7 @@ def random_index_corpus(spark, sf_dir):
 
 @query()
 def semantic_edges(g):
-    n = g.nodes.where("kind in ('module', 'struct', 'function')")
+    n = g.nodes.where("kind in ('module', 'struct')")
     # The name makes most of the text, so that nodes of one nation or one number are alike.
     sig = similarity.signatures_of(n, F.concat_ws(" ", "name", F.translate("file_path", "/.", "  "), "signature"))
     vec = similarity.document_vectors(sig, similarity.random_index_corpus(sig, 64), 64)
@@ -530,3 +530,65 @@ def upsert_batches(spark, sf_dir):
 def isolated_nodes(g):
     ends = g.edges.select(F.col("source").alias("id")).unionByName(g.edges.select(F.col("target").alias("id")))
     return g.nodes.join(ends, "id", "left_anti").select("id", "seq")
+
+
+# Routes, metrics and predicates over pages and customers ----------------------------------------------------------------
+
+
+def _route_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Pages as route nodes: even ones are served, odd ones are called; every fifth says nothing of itself."""
+    from sparkquiver import schema
+    from sparkquiver.graph import complete
+
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
+    said = F.create_map(F.lit("http.method"), F.when(F.col("page_id") % 4 < 2, "GET").otherwise("post"), F.lit("http.path"), path, F.lit("http.framework"), F.when(F.col("page_id") % 3 == 0, "express").otherwise("gin"), F.lit("http.role"), F.when(F.col("page_id") % 2 == 0, "server").otherwise("client"))
+    nodes = p.select(F.concat(F.lit("route:"), F.col("page_id").cast("string")).alias("id"), F.lit("route").alias("kind"), path.alias("name"), F.lit("src/routes.js").alias("file_path"), F.lit("javascript").alias("language"), F.col("page_id").cast("int").alias("start_line"), F.col("page_id").cast("int").alias("end_line"), F.when(F.col("page_id") % 5 == 0, F.create_map().cast("map<string,string>")).otherwise(said).alias("extra"))
+    return Graph(complete(nodes, schema.NODE), spark.createDataFrame([], schema.EDGE))
+
+
+_ROUTE_SQL = "SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') AS path, CASE WHEN page_id % 5 = 0 THEN '*' WHEN page_id % 4 < 2 THEN 'GET' ELSE 'post' END AS method, CASE WHEN page_id % 5 = 0 THEN 'unknown' WHEN page_id % 3 = 0 THEN 'express' ELSE 'gin' END AS framework, CASE WHEN page_id % 5 = 0 OR page_id % 2 = 0 THEN 'server' ELSE 'client' END AS role FROM pages"
+
+
+@query(f"SELECT role, method, path, framework, page_id AS line FROM ({_ROUTE_SQL}) WHERE lower(method) = 'get'", graph=False)
+def http_routes(spark, sf_dir):
+    return http.http_routes(_route_graph(spark, sf_dir), method="get").select("role", "method", "path", "framework", F.col("start_line").cast("long").alias("line"))
+
+
+@query(f"SELECT method, path, framework FROM ({_ROUTE_SQL}) WHERE role = 'client'", graph=False)
+def route_records(spark, sf_dir):
+    return http.route_records(_route_graph(spark, sf_dir), "client").select("method", "path", "framework")
+
+
+@query(f"SELECT page_id AS line, path AS name, CASE WHEN page_id % 5 <> 0 THEN method END AS method, CASE WHEN page_id % 5 <> 0 THEN path END AS path FROM ({_ROUTE_SQL})", graph=False)
+def arch_routes(spark, sf_dir):
+    return architecture.routes(Scoped(_route_graph(spark, sf_dir))).select(F.col("start_line").cast("long").alias("line"), "name", "method", "path")
+
+
+@query("SELECT 'function:' || c_custkey AS id, c_custkey % 10 AS cyclomatic, c_custkey % 7 AS cognitive, c_custkey % 2 = 0 AS recursion FROM customer WHERE c_custkey % 3 <> 0", graph=False)
+def complexity(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    values = {"cyclomatic": (k % 10).cast("string"), "cognitive": (k % 7).cast("string"), "loop_depth": F.lit("0"), "alloc_in_loop": F.lit("false"), "linear_scan_in_loop": F.lit("true"), "recursion": (k % 2 == 0).cast("string"), "unguarded_recursion": F.when(k % 3 == 0, "maybe").otherwise("false")}
+    nodes = c.select(F.concat(F.lit("function:"), k.cast("string")).alias("id"), F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)]).alias("extra"))
+    return analytics.complexity_of(nodes).select("id", F.col("cyclomatic").cast("long").alias("cyclomatic"), F.col("cognitive").cast("long").alias("cognitive"), "recursion")
+
+
+@query("SELECT page_id, translate(url, '/:{}<>*? ', '_________') AS segment FROM pages", graph=False)
+def sanitize_id(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.sanitize_id_segment(F.col("url")).alias("segment"))
+
+
+@query("SELECT doc_id, CASE e WHEN 'rs' THEN 'rust' WHEN 'd.ts' THEN 'typescript' WHEN 'test.ts' THEN 'typescript' WHEN 'h' THEN 'c' END AS language, doc_id % 5 = 2 OR doc_id % 2 = 0 AS is_test, doc_id % 5 = 1 OR doc_id % 5 = 2 AS is_ts FROM (SELECT doc_id, ['rs', 'd.ts', 'test.ts', 'h', 'py'][doc_id % 5 + 1] AS e FROM documents)", graph=False)
+def file_predicates(spark, sf_dir):
+    ends = F.element_at(F.array(*map(F.lit, ("rs", "d.ts", "test.ts", "h", "py"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "tests/").otherwise("src/"), F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), ends)
+    d = docs(spark, sf_dir).select("doc_id", path.alias("path"))
+    return d.select("doc_id", paths.language_of(F.col("path")).alias("language"), paths.is_test_file(F.col("path")).alias("is_test"), paths.has_extension(F.col("path"), ["TS"]).alias("is_ts"))
+
+
+@query("SELECT n_name, lower(trim(concat('  ', n_name, '  '))) AS name, nullif(left(trim(concat('  ', repeat(n_name || ' ', n_nationkey % 20))), 120), '') AS signature FROM nation", graph=False)
+def signature_lines(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    line = F.concat(F.lit("  "), F.repeat(F.concat("n_name", F.lit(" ")), F.col("n_nationkey") % 20))
+    return n.select("n_name", F.lower("n_name").alias("name"), text.signature_of_line(line).alias("signature"))

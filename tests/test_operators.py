@@ -233,3 +233,28 @@ def test_empty_graph(spark):
     assert search.search_nodes(g, "x").count() == 0
     assert architecture.hotspots(Scoped(g)).count() == 0
     assert schema.columns(schema.NODE)[17] == "extra"
+
+
+def test_vector_codec_and_projection(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([([1.0, -0.5, 0.1234567],)], "v array<double>").select(similarity.encode_vector(F.col("v")).alias("t"))
+    assert df.first()[0] == "1.000000 -0.500000 0.123457"
+    back = df.select(similarity.decode_vector(F.col("t"), 3).alias("a"), similarity.decode_vector(F.col("t"), 4).alias("b"), similarity.decode_vector(F.lit("1 x 2"), 3).alias("c")).first()
+    assert back["a"] == [1.0, -0.5, 0.123457] and back["b"] is None and back["c"] is None
+    e = similarity.project_signature(np.zeros(768), np.arange(25.0), np.arange(64))
+    assert abs(float((e * e).sum()) - 1) < 1e-9
+
+
+def test_random_index_corpus_and_diffusion(spark):
+    docs = spark.createDataFrame([("a", ["x", "y"]), ("b", ["y", "z"]), ("c", ["x", "y"])], "id string, tokens array<string>")
+    corpus = similarity.random_index_corpus(docs, 64)
+    vecs = {r["token"]: r["vec"] for r in corpus.collect()}
+    assert set(vecs) == {"x", "y", "z"} and all(abs(sum(t * t for t in v) - 1) < 1e-9 for v in vecs.values())
+    d = {r["id"]: r["vec"] for r in similarity.document_vectors(docs, corpus, 64).collect()}
+    assert d["a"] == d["c"] != d["b"]
+    v = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0]), ("r", [0.0, 0.0])], "id string, vec array<double>")
+    e = spark.createDataFrame([("p", "q", 1), ("p", "p", 2), ("p", "gone", 3)], "source string, target string, seq int")
+    out = {r["id"]: r["vec"] for r in similarity.diffuse(v, e, 0.5).collect()}
+    assert [round(x, 6) for x in out["p"]] == [0.707107, 0.707107] and out["q"] == [0.0, 1.0] and out["r"] == [0.0, 0.0]
+    assert {r["id"]: r["vec"] for r in similarity.diffuse(v, e, float("nan")).collect()}["p"] == [1.0, 0.0]

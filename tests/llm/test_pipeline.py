@@ -30,7 +30,7 @@ def test_each_stage(spark, tmp_path):
         if name != "pack_windows":
             assert docs.dtypes == corpus(spark).dtypes
     good = {r["doc_id"] for r in out["quality_rules"]}
-    assert good == set(range(24)) | {100, 101, 102, 103, 203}
+    assert good == set(range(24)) | {100, 102, 203}  # text in capitals alone is far from its language
     one = {r["doc_id"] for r in out["near_dedup"]}
     want = brute.near_duplicates([(r["doc_id"], r["text"]) for r in out["quality_rules"]])
     assert one == {i for i, (_, _, kept) in want.items() if kept} == set(range(24)) | {203}

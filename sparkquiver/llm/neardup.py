@@ -8,6 +8,8 @@ member; a collision-corrected estimate drops pairs that can't reach the threshol
 sets. Where a bucket still holds several components, its pairs across components are confirmed too; buckets over
 SMALL_BUCKET first split by every second band that its members share.
 
+Joins by key are merge joins by hint: estimates of exploded rows are too low to let them decide on a broadcast.
+
 The chance that a linked pair shares no band is at most (1 - 0.85^5)^24 < 1e-6, and that it shares one band only, which
 matters in a bucket over SMALL_BUCKET, below 2e-5; the estimate's threshold lies more than five deviations below 0.85.
 """
@@ -102,7 +104,7 @@ def estimate_jaccard(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray)
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose estimate reaches least."""
     sig = classes.select("rep", F.struct("n_shingles", "short", "long").alias("s"))
-    both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("s").alias("p")), "a").join(sig.select(F.col("rep").alias("b"), F.col("s").alias("q")), "b")
+    both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("s").alias("p")).hint("merge"), "a").join(sig.select(F.col("rep").alias("b"), F.col("s").alias("q")).hint("merge"), "b")
     short = F.col("p.short").isNotNull() & F.col("q.short").isNotNull()
     both = both.select("a", "b", F.col("p.n_shingles").alias("n"), F.col("q.n_shingles").alias("m"), F.when(short, F.col("p.short")).otherwise(F.col("p.long")).alias("x"), F.when(short, F.col("q.short")).otherwise(F.col("q.long")).alias("y"))
     both = both.where("x is not null and y is not null and 100 * least(n, m) >= 85 * greatest(n, m)")
@@ -123,9 +125,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int = 85) -> DataFram
 
     The pairs of one a are dealt over tasks, STAR to each; a task keeps one set of a and streams the others past it.
     """
-    dealt = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).cast("int").alias("part"))
+    dealt = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / STAR)).cast("int").alias("part"))
     rows = dealt.withColumn("head", F.lit(False)).unionByName(dealt.select("a", F.col("a").alias("b"), "part", F.lit(True).alias("head")).distinct())
-    rows = rows.join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "part", "head", "b", "text")
+    rows = rows.hint("merge").join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "part", "head", "b", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("head").desc(), "b")
 
     def make():
@@ -165,23 +167,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     explode = lambda c, at: classes.where(F.col(c).isNotNull()).select("rep", F.posexplode(c).alias("band", "key")).withColumn("band", F.col("band") + at)
     buckets = explode("short", 0).unionByName(explode("long", BANDS))
     shared = buckets.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").drop("top")
-    multi = cut(buckets.join(shared, ["band", "key"]))
+    multi = cut(buckets.join(shared.hint("merge"), ["band", "key"]))
     first = multi.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(confirmed(_estimated(first, classes, 0.62), docs))
     found = cut(connected_components(links))
 
     label = found.select(F.col("node").alias("rep"), "component")
-    here = multi.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    here = multi.join(label.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = here.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    here = cut(here.join(mixed, ["band", "key"]))
+    here = cut(here.join(mixed.hint("merge"), ["band", "key"]))
 
     def across(rows: DataFrame, on: list[str]) -> DataFrame:
         left = rows.select(*on, F.col("rep").alias("a"), F.col("component").alias("p"), "pivot")
         right = rows.select(*on, F.col("rep").alias("b"), F.col("component").alias("q"))
-        return left.join(right, on).where("a < b and p <> q and a <> pivot").select("a", "b")
+        return left.join(right.hint("merge"), on).where("a < b and p <> q and a <> pivot").select("a", "b")
 
     big = here.where(F.col("size") > SMALL_BUCKET)
-    second = big.join(buckets.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2")), "rep").where("band <> band2")
+    second = big.join(buckets.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2")).hint("merge"), "rep").where("band <> band2")
     rest = across(here.where(F.col("size") <= SMALL_BUCKET), ["band", "key"]).unionByName(across(second, ["band", "key", "band2", "key2"])).distinct()
     more = cut(confirmed(_estimated(rest, classes, 0.62), docs))
     every = links.unionByName(more)

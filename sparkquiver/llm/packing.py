@@ -201,6 +201,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
 
         def flush() -> Iterator[tuple]:
             nonlocal total, fill, last
+            if not docs:
+                return
             for d in order_shard(docs, fill, window):
                 data, start, n = docs[d].tobytes(), 0, len(docs[d])
                 while start < n:

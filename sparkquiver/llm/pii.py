@@ -34,7 +34,7 @@ _RULES = re.compile(
     rf"(?P<digits>(?<![A-Za-z])(?:plus{_GAP})?{_SPELLED}(?:{_GAP}{_SPELLED}){{6,}}(?![A-Za-z]))"
     r"|(?P<at>\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?)"
     r"|(?P<dot>\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?)"
-    r"|(?P<plain>(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]+){0,3}\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+){1,4}(?![A-Za-z0-9-]))"
+    r"|(?P<plain>(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]+){0,3}\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+){0,3}\x20dot\x20(?:com|org|net|edu|gov|info|io|dev|app|ai|co|uk|us|eu|de|fr|es|ch|nl|pl|se|jp|cn|in|br|ca|au)(?![A-Za-z0-9-]))"
     r"|(?P<glyph>[" + "".join(map(re.escape, _HOMOGLYPHS)) + "])",
     re.IGNORECASE | re.ASCII,
 )

@@ -24,12 +24,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _CUE_WORDS = ("passw", "passphrase", "pwd", "secret", "token", "api", "access", "private", "credential", "bearer", "authoriz", "auth_", "auth-", "signature", "client_", "ssh-", "key")
 _CUE = re.compile(r"(?ai)pass(?:word|wd|phrase)|\bpwd\b|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|secret[ _-]?key|credential|bearer|authorization|\bauth[_-]|signature|client[_-](?:id|secret)|ssh-(?:rsa|ed25519)")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9+/_][A-Za-z0-9+/_=.~-]{11,}")
+_TURN = re.compile(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")
 #: A candidate starts within so many code points after the end of a cue.
 REACH = 48
 #: Code points on either side that prime the dictionary.
 AROUND = 256
-MIN_MARGINAL, MIN_RATIO = 10, 0.6
+MIN_MARGINAL, MIN_RATIO = 10, 0.75
+#: Changes between letters and digits that a candidate has at least; names with a number at the end have one.
+MIN_TURNS = 3
 IDENTIFIERS = (
     "username user_name password passwd passphrase secret_key secret token access_token refresh_token id_token api_key apikey "
     "access_key_id secret_access_key private_key public_key client_id client_secret credentials authorization bearer basic "
@@ -76,7 +79,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], identifiers: bytes
             word = m[0].strip(".-=~") or m[0]
             a = m.start() + m[0].find(word)
             b = a + len(word)
-            if len(word) < 12 or not any(x.isdigit() for x in word) or not any(x.isalpha() for x in word):
+            if len(word) < 12 or len(_TURN.findall(word)) < MIN_TURNS:
                 continue
             if any(s < b and a < e for s, _, e in taken):
                 continue

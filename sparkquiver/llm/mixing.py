@@ -104,11 +104,12 @@ def draw(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("n")).cast("int"))
     slots = slots.withColumn("block", _permuted(F.col("slot") % F.col("n"), F.col("n"), F.xxhash64("s", "epoch", F.lit(seed))))
 
-    filled = rows.where("size > 0").join(buckets, ["s", "bucket"])
+    filled = rows.where("size > 0").join(buckets.hint("merge"), ["s", "bucket"])
     filled = filled.select("doc_id", "source", "mark", "copy", "s", "size", "offset", "first", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("k"))
     begin = F.greatest(F.col("k") * block, F.col("offset"))
     filled = filled.select("doc_id", "source", "mark", "copy", "s", (F.col("first") + F.col("k")).alias("block"), (begin - F.col("offset")).alias("start"), (F.least((F.col("k") + 1) * block, F.col("offset") + F.col("size")) - begin).alias("words"))
-    pieces = slots.select("s", "shard", "slot", "epoch", "block").join(filled, ["s", "block"]).select("doc_id", "source", "mark", "copy", "shard", "slot", "epoch", "block", "start", "words")
+    # A merge join by hint: the estimate of the exploded slots is that of the few sources they come from.
+    pieces = slots.select("s", "shard", "slot", "epoch", "block").hint("merge").join(filled, ["s", "block"]).select("doc_id", "source", "mark", "copy", "shard", "slot", "epoch", "block", "start", "words")
     return rows.select("doc_id", "source", "mark", "copy", "size", "source_size", "target"), pieces
 
 
@@ -120,7 +121,7 @@ def mix_report(df: DataFrame, **options) -> DataFrame:
     on = F.lit(True)
     for k in key:
         on = on & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
-    return rows.alias("r").join(taken.alias("t"), on, "left").select("r.doc_id", "r.size", "r.source_size", "r.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.alias("r").join(taken.alias("t").hint("merge"), on, "left").select("r.doc_id", "r.size", "r.source_size", "r.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -151,7 +152,7 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_source", "_mark").orderBy(F.lit(0))))
     plan = plan.select(*[F.col(c).alias(f"_p_{c}") for c in ("doc_id", "source", "mark", "copy", "epoch")], "_ranges")
     on = F.col("_id").eqNullSafe(F.col("_p_doc_id")) & F.col("_source").eqNullSafe(F.col("_p_source")) & (F.col("_mark") == F.col("_p_mark")) & (F.col("_copy") == F.col("_p_copy"))
-    joined = keyed.join(plan, on).select(*names, "_ranges")
+    joined = keyed.join(plan.hint("merge"), on).select(*names, "_ranges")
 
     def run(batches):
         for pdf in batches:

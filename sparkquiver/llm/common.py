@@ -24,6 +24,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a single small file would else be one task's work. An input of
+    more splits than that, as any large one is, stays as it was scanned."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, type=x.type) for c, x in zip(columns, schema)], schema=schema)

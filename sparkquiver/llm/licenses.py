@@ -10,7 +10,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquiver.llm.common import map_rows
+from sparkquiver.llm.common import map_rows, spread
 
 #: Phrase to label; these are the contract's.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -155,4 +155,4 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return f
 
     one = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(one, ["doc_id", "text"], "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double", make)
+    return map_rows(spread(one), ["doc_id", "text"], "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double", make)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquiver.llm.common import arrow_schema, map_rows
+from sparkquiver.llm.common import arrow_schema, map_rows, spread
 from sparkquiver.operators.components import cut
 
 #: Documents a group; a group's words are one task's dictionary.
@@ -124,7 +124,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         f.close = out
         return f
 
-    return map_rows(docs, ["doc_id", "text"], "word string, c long", make).groupBy("word").agg(F.sum("c").alias("c"))
+    return map_rows(spread(docs), ["doc_id", "text"], "word string, c long", make).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def count_pieces(words: DataFrame, path: str) -> dict[int, int]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquiver.llm.common import arrow_schema, map_rows
+from sparkquiver.llm.common import arrow_schema, map_rows, spread
 from sparkquiver.llm.shingles import mix, shingle_sets
 from sparkquiver.operators.components import connected_components, cut
 
@@ -86,7 +86,7 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return f
 
     one = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(one, ["doc_id", "text"], "doc_id long, n_shingles long, key_a long, key_b long, short array<long>, long array<long>", make)
+    return map_rows(spread(one), ["doc_id", "text"], "doc_id long, n_shingles long, key_a long, key_b long, short array<long>, long array<long>", make)
 
 
 def estimate_jaccard(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:

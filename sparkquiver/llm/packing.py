@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquiver.llm.common import map_rows
+from sparkquiver.llm.common import map_rows, spread
 
 WINDOW, END_ID = 4096, 2
 #: A shard closes at so many tokens or documents. Words whose ids a task remembers.
@@ -235,4 +235,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         return f
 
     one = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(one, ["doc_id", "text"], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", make)
+    return map_rows(spread(one), ["doc_id", "text"], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", make)

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquiver.llm.common import map_rows
+from sparkquiver.llm.common import map_rows, spread
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -138,7 +138,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return f
 
     one = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(one, ["doc_id", "text"], "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string", make)
+    return map_rows(spread(one), ["doc_id", "text"], "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string", make)
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

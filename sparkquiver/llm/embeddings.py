@@ -114,9 +114,9 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     left = buckets.select("dim", "band", "key", F.col("cls").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
     right = buckets.select("dim", "band", "key", F.col("cls").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
     near = (F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))) <= far
-    pairs = left.join(right, ["dim", "band", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = left.join(right.hint("merge"), ["dim", "band", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     vectors = classes.select("cls", "v")
-    both = pairs.join(vectors.select(F.col("cls").alias("a"), F.col("v").alias("x")), "a").join(vectors.select(F.col("cls").alias("b"), F.col("v").alias("y")), "b")
+    both = pairs.join(vectors.select(F.col("cls").alias("a"), F.col("v").alias("x")).hint("merge"), "a").join(vectors.select(F.col("cls").alias("b"), F.col("v").alias("y")).hint("merge"), "b")
     schema = arrow_schema("a long, b long")
 
     def recompute(batches):

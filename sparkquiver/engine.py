@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkquiver import schema
 from sparkquiver.functions.hashes import content_hash
 from sparkquiver.functions.paths import LANGUAGES, language_of
-from sparkquiver.graph import Graph, complete
+from sparkquiver.graph import Graph, complete, empty_graph
 from sparkquiver.operators import analytics, architecture, http, incremental, resolve, search, similarity, traverse
 from sparkquiver.operators.components import cut
 from sparkquiver.plans.compiler import compile_query, truncated
@@ -68,7 +68,7 @@ class GraphEngine:
     @property
     def graph(self) -> Graph:
         if self._graph is None:
-            self._graph = self.store.read() if self.store is not None else GraphStore(self.spark, "/nonexistent").read()
+            self._graph = self.store.read() if self.store is not None else empty_graph(self.spark)
         return self._graph
 
     def _save(self, g: Graph) -> None:
@@ -157,7 +157,7 @@ class GraphEngine:
     def clear(self) -> None:
         if self.store is not None:
             self.store.clear()
-        self._graph = None if self.store is not None else GraphStore(self.spark, "/nonexistent").read()
+        self._graph = None
 
     # Reading
 

@@ -41,6 +41,10 @@ def complete(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*out)
 
 
+def empty_graph(spark: SparkSession) -> Graph:
+    return Graph(*[spark.createDataFrame([], ddl) for ddl in (schema.NODE, schema.EDGE, schema.FILE, schema.COVERAGE)])
+
+
 def from_rows(spark: SparkSession, nodes: list[dict], edges: list[dict]) -> Graph:
     """A small graph of dictionaries, as tests and interactive work use it; seq is the place in the list."""
     n_cols, e_cols = schema.columns(schema.NODE), schema.columns(schema.EDGE)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -159,17 +158,3 @@ def _acyclic(steps: DataFrame) -> bool:
             return False
         before = now
     return True
-
-
-def plain_bfs(edges: list[tuple[str, str]], starts: list[str], depth: int) -> dict[str, int]:
-    """Distances over a small edge list; the plain form that tests hold the loops against."""
-    out = {s: 0 for s in starts}
-    queue = deque(starts)
-    while queue:
-        x = queue.popleft()
-        if out[x] < depth:
-            for a, b in edges:
-                if a == x and b not in out:
-                    out[b] = out[x] + 1
-                    queue.append(b)
-    return out

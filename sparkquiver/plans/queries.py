@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquiver import schema
 from sparkquiver.functions import hashes, paths, text, vectors
-from sparkquiver.graph import Graph
+from sparkquiver.graph import Graph, complete
 from sparkquiver.operators import analytics, architecture, http, incremental, resolve, search, similarity, traverse
 from sparkquiver.operators.architecture import Scoped
 from sparkquiver.plans.adapter import GRAPH_SQL, document_path, table_graph
 from sparkquiver.plans.compiler import run_cypher
-from sparkquiver.schema import SEED_KINDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,7 +108,7 @@ def blast_both(g):
 
 _PATHS = ["asia/nation_2/building.rs", "europe/nation_3/bin/machinery.rs", "parts/brand_17.rs"]
 _IN_PATHS = "file_path IN (" + ", ".join(f"'{p}'" for p in _PATHS) + ")"
-_KINDS = "kind IN (" + ", ".join(f"'{k}'" for k in SEED_KINDS) + ")"
+_KINDS = "kind IN (" + ", ".join(f"'{k}'" for k in schema.SEED_KINDS) + ")"
 
 
 @query(f" SELECT id, kind, name, file_path FROM nodes WHERE {_KINDS} AND {_IN_PATHS}")
@@ -326,13 +326,10 @@ _SPANS = "SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS fil
 
 
 def _document_graph(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
-    """Documents as files whose nodes are runs of three lines; every tenth run is called by every document's first."""
+    """Documents as files whose nodes are runs of three lines; the first run of every tenth document is called by those after it."""
     d = docs(spark, sf_dir).select("doc_id", document_path().alias("path"), "text")
     n = d.select("doc_id", "path", F.size(F.split("text", "\n")).alias("n")).select("doc_id", "path", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 3))).alias("k"))
     name = F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("k").cast("string"))
-    from sparkquiver import schema
-    from sparkquiver.graph import complete
-
     nodes = complete(n.select(name.alias("id"), F.lit("function").alias("kind"), name.alias("name"), name.alias("qualified_name"), F.col("path").alias("file_path"), F.lit("text").alias("language"), (F.col("k") * 3 + 1).cast("int").alias("start_line"), F.least(F.col("k") * 3 + 3, F.col("n")).cast("int").alias("end_line")), schema.NODE)
     edges = complete(n.where("k = 0").select(name.alias("id"), name.alias("source"), F.concat(F.lit("chunk_"), (F.col("doc_id") - F.col("doc_id") % 10).cast("string"), F.lit("_0")).alias("target"), F.lit("calls").alias("kind"), F.col("doc_id").alias("seq")), schema.EDGE)
     return Graph(nodes, edges), d
@@ -537,9 +534,6 @@ def isolated_nodes(g):
 
 def _route_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Pages as route nodes: even ones are served, odd ones are called; every fifth says nothing of itself."""
-    from sparkquiver import schema
-    from sparkquiver.graph import complete
-
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
     said = F.create_map(F.lit("http.method"), F.when(F.col("page_id") % 4 < 2, "GET").otherwise("post"), F.lit("http.path"), path, F.lit("http.framework"), F.when(F.col("page_id") % 3 == 0, "express").otherwise("gin"), F.lit("http.role"), F.when(F.col("page_id") % 2 == 0, "server").otherwise("client"))

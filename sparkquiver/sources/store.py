@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquiver import schema
-from sparkquiver.graph import Graph, complete
+from sparkquiver.graph import Graph, complete, empty_graph
 from sparkquiver.schema import StorageError
 
 TABLES = {"nodes": schema.NODE, "edges": schema.EDGE, "files": schema.FILE, "coverage": schema.COVERAGE}
@@ -33,8 +33,7 @@ class GraphStore:
     def read(self) -> Graph:
         v = self.version()
         if v is None:
-            empty = {n: self.spark.createDataFrame([], ddl) for n, ddl in TABLES.items()}
-            return Graph(**empty)
+            return empty_graph(self.spark)
         at = self.path / f"v{v}"
         return Graph(**{n: complete(self.spark.read.schema(ddl).parquet(str(at / n)), ddl) for n, ddl in TABLES.items()})
 
@@ -54,13 +53,10 @@ class GraphStore:
         return v
 
     def clear(self) -> None:
-        self.write(Graph(**{n: self.spark.createDataFrame([], ddl) for n, ddl in TABLES.items()}))
+        self.write(empty_graph(self.spark))
 
     def query_nodes(self, sql: str, **args: object) -> DataFrame:
-        """Nodes by SQL with named parameters, over the view `nodes`."""
-        return self.spark.sql(sql, args=args or None, nodes=self.read().nodes) if "{nodes}" in sql else self._view(sql, args)
-
-    def _view(self, sql: str, args: dict) -> DataFrame:
+        """Nodes by SQL over the view `nodes`, with named parameters."""
         self.read().nodes.createOrReplaceTempView("nodes")
         return self.spark.sql(sql, args=args or None)
 

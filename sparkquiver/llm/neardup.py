@@ -32,6 +32,8 @@ REGISTERS = BANDS * ROWS
 #: Shingles from which buckets are filled well enough; documents up to SHORT / 0.83 take hash functions as well.
 SHORT = 1024
 SMALL_BUCKET = 64
+#: Ids of dropped documents, of 8 bytes each, that are broadcast at most.
+IDS_SENT = 1_000_000
 #: Members of one representative that a task confirms at a time.
 STAR = 512
 EMPTY = 0xFFF
@@ -196,5 +198,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows whose document isn't the smallest of its component; of rows that share an id and are kept, all stay."""
-    gone = near_duplicates(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut(near_duplicates(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    # Up to IDS_SENT ids, which are counted, go to every task; beyond that both sides are shuffled.
+    gone = F.broadcast(gone) if gone.count() <= IDS_SENT else gone.hint("merge")
     return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -26,8 +26,8 @@ _CUE_WORDS = ("passw", "passphrase", "pwd", "secret", "token", "api", "access",
 _CUE = re.compile(r"(?ai)pass(?:word|wd|phrase)|\bpwd\b|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|secret[ _-]?key|credential|bearer|authorization|\bauth[_-]|signature|client[_-](?:id|secret)|ssh-(?:rsa|ed25519)")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9+/_][A-Za-z0-9+/_=.~-]{11,}")
 _TURN = re.compile(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")
-#: A candidate starts within so many code points after the end of a cue.
-REACH = 48
+#: A candidate starts within so many code points after the end of a cue, and has so many characters at least.
+REACH, SHORTEST = 48, 12
 #: Code points on either side that prime the dictionary.
 AROUND = 256
 MIN_MARGINAL, MIN_RATIO = 10, 0.75
@@ -72,19 +72,18 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], identifiers: bytes
     out, done = [], 0
     for cue in _CUE.finditer(text):
         start = max(cue.end(), done)
-        for m in _CANDIDATE.finditer(text, start, min(len(text), cue.end() + REACH + 4096)):
-            if m.start() > cue.end() + REACH:
-                break
-            done = max(done, m.end())
+        # The limit holds for a candidate's start only: its first SHORTEST characters find it, and it is read to its end.
+        while (m := _CANDIDATE.search(text, start, cue.end() + REACH + SHORTEST)) and (m := _CANDIDATE.match(text, m.start())):
+            start = done = m.end()
             word = m[0].strip(".-=~") or m[0]
             a = m.start() + m[0].find(word)
             b = a + len(word)
-            if len(word) < 12 or len(_TURN.findall(word)) < MIN_TURNS:
+            if len(word) < SHORTEST or len(_TURN.findall(word)) < MIN_TURNS:
                 continue
             if any(s < b and a < e for s, _, e in taken):
                 continue
-            bytes_ = marginal_bytes(word[:4096], text[max(0, a - AROUND) : a] + text[b : b + AROUND], identifiers)
-            if bytes_ >= MIN_MARGINAL and bytes_ >= MIN_RATIO * min(len(word), 4096):
+            bytes_ = marginal_bytes(word, text[max(0, a - AROUND) : a] + text[b : b + AROUND], identifiers)
+            if bytes_ >= MIN_MARGINAL and bytes_ >= MIN_RATIO * len(word):
                 out.append((a, 3, b))
     return out
 

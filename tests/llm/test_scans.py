@@ -1,3 +1,6 @@
+import random
+import string
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,6 +22,15 @@ def test_novel_secrets():
     assert secrets.marginal_bytes("a8f3K2m9Qx7", "") > secrets.marginal_bytes("refresh_token", "")
 
 
+def test_long_secrets_are_masked_to_their_end():
+    rng = random.Random(5)
+    for n in (4090, 4200, 60_000):
+        blob = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=n)).strip("+/")
+        text = f"private key: {blob} and so on"
+        assert [text[s:e] for s, _, e in secrets.find_secrets(text)] == [blob]
+        assert secrets.redact(text) == "private key: [SECRET] and so on"
+
+
 def test_redaction(docs, texts):
     out = secrets.redact_secrets(docs).collect()
     assert len(out) == len(texts)

@@ -31,6 +31,18 @@ def test_long_secrets_are_masked_to_their_end():
         assert secrets.redact(text) == "private key: [SECRET] and so on"
 
 
+def test_random_secrets_of_any_alphabet():
+    rng = random.Random(6)
+    letters, digits = string.ascii_letters, string.digits
+    for alphabet in (letters + digits, letters, string.ascii_lowercase, string.ascii_uppercase + "234567", digits + "ABCDEF", letters + digits + "-_"):
+        for n in (12, 16, 24, 64, 96, 512, 3000):
+            words = ["".join(rng.choices(alphabet[:62], k=1) + rng.choices(alphabet, k=n - 2) + rng.choices(alphabet[:62], k=1)) for _ in range(50)]
+            assert sum(bool(secrets.find_secrets(f"Bearer {w}")) for w in words) >= (48 if n < 16 else 49)
+    assert secrets.find_secrets("Bearer QkXzPvLmTrWsYbNcHdJf") == [(7, 3, 27)]
+    for name in ("customer_address_17", "getConnectionByUserName2", "internationalization", "CONFIGURATION_DIRECTORY", "section2paragraph3line4", "com.example.application.Main"):
+        assert secrets.find_secrets(f"the key {name} is set") == []
+
+
 def test_redaction(docs, texts):
     out = secrets.redact_secrets(docs).collect()
     assert len(out) == len(texts)

@@ -10,13 +10,15 @@ SMALL_BUCKET first split by every second band that its members share.
 
 Joins by key are merge joins by hint: estimates of exploded rows are too low to let them decide on a broadcast.
 
-The chance that a linked pair shares no band is at most (1 - 0.85^5)^24 < 1e-6, and that it shares one band only, which
-matters in a bucket over SMALL_BUCKET, below 2e-5; the estimate's threshold lies more than five deviations below 0.85.
+The threshold sets the band plan: as many rows a band as keep the chance that a linked pair shares no band below 1e-6, and that
+it shares one band only, which matters in a bucket over SMALL_BUCKET, below 2e-5 (24 bands of 5 rows at 0.85, 30 of 4 at
+0.80). The least estimate lies seven deviations below the threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from sparkquiver.operators.components import connected_components, cut
 
 BANDS, ROWS, MANTISSA = 24, 5, 6
 REGISTERS = BANDS * ROWS
-#: Shingles from which buckets are filled well enough; documents up to SHORT / 0.83 take hash functions as well.
+#: Per cent of similarity from which documents are linked, unless a caller gives another.
+PER_CENT = 85
+#: Shingles from which buckets are filled well enough; documents up to SHORT / (threshold - 0.02) take hash functions as well.
 SHORT = 1024
 SMALL_BUCKET = 64
 #: Ids of dropped documents, of 8 bytes each, that are broadcast at most.
@@ -49,30 +53,42 @@ def _compress(minimum: np.ndarray) -> np.ndarray:
     return (lead << MANTISSA) | ((m * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
 
 
-def _bands(registers: np.ndarray) -> list[int]:
-    shift = np.arange(ROWS, dtype=np.int64) * 12
-    return (registers.reshape(BANDS, ROWS) << shift).sum(axis=1).tolist()
+def band_plan(per_cent: int) -> tuple[int, float]:
+    """(rows a band, least estimate) for a threshold."""
+    t = per_cent / 100
+    for rows in (5, 4, 3, 2, 1):
+        share, bands = t**rows, REGISTERS // rows
+        none = (1 - share) ** bands
+        if none < 1e-6 and none + bands * share * (1 - share) ** (bands - 1) < 2e-5:
+            return rows, t - 7.06 * sqrt(t * (1 - t) / REGISTERS)
+    raise ValueError(f"no band plan for {per_cent} %")
 
 
-def bucket_bands(u: np.ndarray) -> list[int]:
+def _bands(registers: np.ndarray, rows: int) -> list[int]:
+    shift = np.arange(rows, dtype=np.int64) * 12
+    return (registers.reshape(-1, rows) << shift).sum(axis=1).tolist()
+
+
+def bucket_bands(u: np.ndarray, rows: int = ROWS) -> list[int]:
     """Bands of the least hash in each of REGISTERS equal ranges; u is sorted."""
     at = np.searchsorted(u, _EDGE)
     end = np.append(at[1:], len(u))
     value = u[np.minimum(at, len(u) - 1)] - _EDGE
-    return _bands(np.where(at < end, _compress(value << np.uint64(6)), EMPTY))
+    return _bands(np.where(at < end, _compress(value << np.uint64(6)), EMPTY), rows)
 
 
-def function_bands(u: np.ndarray) -> list[int]:
+def function_bands(u: np.ndarray, rows: int = ROWS) -> list[int]:
     """Bands of the least value of each of REGISTERS hash functions."""
     best = None
     for i in range(0, len(u), 512):
         low = (u[None, i : i + 512] * _A[:, None] + _C[:, None]).min(axis=1)
         best = low if best is None else np.minimum(best, low)
-    return _bands(_compress(best))
+    return _bands(_compress(best), rows)
 
 
-def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def describe(df: DataFrame, id_col: str, text_col: str, per_cent: int = PER_CENT) -> DataFrame:
     """(doc_id, n_shingles, key_a, key_b, short, long): the key stands for the whole shingle set."""
+    rows, most = band_plan(per_cent)[0], SHORT / (per_cent / 100 - 0.02)
 
     def make():
         def f(ids: list, texts: list) -> Iterator[tuple]:
@@ -83,7 +99,7 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 a = int(mix(u ^ np.uint64(0x243F6A8885A308D3)).sum().view(np.int64))
                 b = int(mix(u ^ np.uint64(0x13198A2E03707344)).sum().view(np.int64))
-                yield i, n, a, b, function_bands(u) if n <= SHORT / 0.83 else None, bucket_bands(u) if n >= SHORT else None
+                yield i, n, a, b, function_bands(u, rows) if n <= most else None, bucket_bands(u, rows) if n >= SHORT else None
 
         return f
 
@@ -91,9 +107,9 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(spread(one), ["doc_id", "text"], "doc_id long, n_shingles long, key_a long, key_b long, short array<long>, long array<long>", make)
 
 
-def estimate_jaccard(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def estimate_jaccard(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """Jaccard estimates of rows of bands, corrected for registers that agree by chance (HyperMinHash, Yu and Weber)."""
-    shift = np.arange(ROWS, dtype=np.int64) * 12
+    shift = np.arange(rows, dtype=np.int64) * 12
     p = ((x[:, :, None] >> shift) & EMPTY).reshape(len(x), -1)
     q = ((y[:, :, None] >> shift) & EMPTY).reshape(len(y), -1)
     used = ((p != EMPTY) | (q != EMPTY)).sum(axis=1)
@@ -103,26 +119,27 @@ def estimate_jaccard(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray)
     return np.clip((same / np.maximum(used, 1) - chance) / (1 - chance), 0, 1)
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimate reaches least."""
+def _estimated(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) whose estimate reaches the least of the threshold."""
+    rows, least = band_plan(per_cent)
     sig = classes.select("rep", F.struct("n_shingles", "short", "long").alias("s"))
     both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("s").alias("p")).hint("merge"), "a").join(sig.select(F.col("rep").alias("b"), F.col("s").alias("q")).hint("merge"), "b")
     short = F.col("p.short").isNotNull() & F.col("q.short").isNotNull()
     both = both.select("a", "b", F.col("p.n_shingles").alias("n"), F.col("q.n_shingles").alias("m"), F.when(short, F.col("p.short")).otherwise(F.col("p.long")).alias("x"), F.when(short, F.col("q.short")).otherwise(F.col("q.long")).alias("y"))
-    both = both.where("x is not null and y is not null and 100 * least(n, m) >= 85 * greatest(n, m)")
+    both = both.where(f"x is not null and y is not null and 100 * least(n, m) >= {per_cent} * greatest(n, m)")
     schema = arrow_schema("a long, b long")
 
     def run(batches):
         for batch in batches:
-            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS) for i in (4, 5))
+            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, REGISTERS // rows) for i in (4, 5))
             n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            near = pa.array(estimate_jaccard(x, y, n, m) >= least)
+            near = pa.array(estimate_jaccard(x, y, n, m, rows) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], schema=schema)
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int = 85) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """Pairs (a, b) whose full shingle sets meet the threshold. docs: (doc_id, text).
 
     The pairs of one a are dealt over tasks, STAR to each; a task keeps one set of a and streams the others past it.
@@ -156,22 +173,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, per_cent: int = 85) -> DataFram
     return map_rows(rows, ["a", "part", "head", "b", "text"], "a long, b long", make)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of df.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of df; documents at per_cent of similarity or more are linked.
 
     Null or empty text, or text of white space only: no shingles, linked with nothing, kept. A null id is never linked; its
     component is null and it is kept. Rows that share an id are one document: they share a component.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = cut(describe(df, id_col, text_col))
+    described = cut(describe(df, id_col, text_col, per_cent))
     classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("short").alias("short"), F.first("long").alias("long"))
     classes = cut(classes)
     explode = lambda c, at: classes.where(F.col(c).isNotNull()).select("rep", F.posexplode(c).alias("band", "key")).withColumn("band", F.col("band") + at)
-    buckets = explode("short", 0).unionByName(explode("long", BANDS))
+    buckets = explode("short", 0).unionByName(explode("long", REGISTERS // band_plan(per_cent)[0]))
     shared = buckets.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").drop("top")
     multi = cut(buckets.join(shared.hint("merge"), ["band", "key"]))
     first = multi.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(confirmed(_estimated(first, classes, 0.62), docs))
+    links = cut(confirmed(_estimated(first, classes, per_cent), docs, per_cent))
     found = cut(connected_components(links))
 
     label = found.select(F.col("node").alias("rep"), "component")
@@ -187,7 +204,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     big = here.where(F.col("size") > SMALL_BUCKET)
     second = big.join(buckets.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2")).hint("merge"), "rep").where("band <> band2")
     rest = across(here.where(F.col("size") <= SMALL_BUCKET), ["band", "key"]).unionByName(across(second, ["band", "key", "band2", "key2"])).distinct()
-    more = cut(confirmed(_estimated(rest, classes, 0.62), docs))
+    more = cut(confirmed(_estimated(rest, classes, per_cent), docs, per_cent))
     every = links.unionByName(more)
     final = connected_components(every)
     by_class = classes.select("key_a", "key_b", "n_shingles", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -196,9 +213,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
     """df without the rows whose document isn't the smallest of its component; of rows that share an id and are kept, all stay."""
-    gone = cut(near_duplicates(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = cut(near_duplicates(df, id_col, text_col, per_cent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     # Up to IDS_SENT ids, which are counted, go to every task; beyond that both sides are shuffled.
     gone = F.broadcast(gone) if gone.count() <= IDS_SENT else gone.hint("merge")
     return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -15,7 +15,7 @@ def op1_secret_scan(spark, sf_dir):
 
 
 def op2_near_dedup(spark, sf_dir):
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), per_cent=85)
 
 
 def op3_quality_rules(spark, sf_dir):

@@ -90,7 +90,7 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, per_cent=85):
     """docs: (doc_id, text) with distinct ids."""
     sets = {i: shingles(t) for i, t in docs}
     holders = {}
@@ -100,7 +100,7 @@ def near_duplicates(docs):
     links = []
     for a, s in sets.items():
         shared = Counter(b for x in s for b in holders[x] if b > a)
-        links += [(a, b) for b, n in shared.items() if 100 * n >= 85 * (len(s) + len(sets[b]) - n)]
+        links += [(a, b) for b, n in shared.items() if 100 * n >= per_cent * (len(s) + len(sets[b]) - n)]
     c = components(list(sets), links)
     return {i: (len(sets[i]), c[i], c[i] == i) for i in sets}
 

@@ -60,6 +60,29 @@ def test_many_families(spark):
     assert got == brute.near_duplicates([(r[0], r[1]) for r in rows])
 
 
+def test_pipeline_drops_copies_from_80_per_cent(spark, tmp_path):
+    import corpus_pipeline
+
+    rng, rows = random.Random(4), []
+    for f, (n, most) in enumerate([(200, 6), (1250, 36), (1300, 36), (1350, 36), (3000, 80)]):
+        base = [f"f{f}w{rng.randrange(10**6)}" for _ in range(n)]
+        for k in range(10):
+            w = list(base)
+            for i in range(most * k // 10):  # changed words at distance, each in five shingles
+                w[8 + i * (n // most - 1)] = f"z{rng.randrange(10**6)}"
+            rows.append((f * 100 + k, " ".join(w + base[: n // 9] * (k == 5)), "en", "s", 1))
+    texts = [(r[0], r[1]) for r in rows]
+    a, b = brute.shingles(rows[0][1]), brute.shingles(rows[7][1])
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    df = spark.createDataFrame(rows, SCHEMA)
+    for per_cent in (80, 85):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, per_cent=per_cent).collect()}
+        assert got == brute.near_duplicates(texts, per_cent)
+    pair = df.where("doc_id in (0, 7)")
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, pair, str(tmp_path)).collect()] == [0]
+    assert neardup.near_duplicates(pair).where("kept").count() == 2
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 64))

@@ -1,7 +1,8 @@
 """Lexical retrieval packing.
 
 A shard is a bounded run of documents within one task. Its BM25 inverted index over token ids returns, for the document that
-opens a window, its nearest unused neighbours, which fill the window in order of score; a document that doesn't fit is cut
+opens a window, its nearest unused neighbours, which fill the window in order of score; the rarest terms are asked for first,
+and further ones, down to the most common, only while the window has room; a document that doesn't fit is cut
 and its rest opens the next window. The end of a task's last window is cut into powers of two, which take no padding.
 """
 
@@ -127,16 +128,18 @@ class Index:
         tf = tf[order]
         self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
 
-    def scores(self, d: int) -> np.ndarray:
-        """BM25 scores of all documents against the rarest terms of document d that another document holds too."""
+    def scores(self, d: int) -> Iterator[np.ndarray]:
+        """BM25 scores of all documents against the rarest QUERY_TERMS terms of document d that another document holds too,
+        then against twice as many each time, up to all of them. The end id is no term."""
         at = np.searchsorted(self.vocabulary, self.terms[d])
-        at = at[self.df[at] > 1]
-        if len(at) > QUERY_TERMS:
-            at = at[np.argpartition(-self.idf[at], QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(at):
-            return np.zeros(self.n)
-        spans = [slice(self.first[i], self.last[i]) for i in at]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        at = at[(self.df[at] > 1) & (self.terms[d] != END_ID)]
+        at = at[np.argsort(-self.idf[at], kind="stable")]
+        score, done, most = np.zeros(self.n), 0, QUERY_TERMS
+        while done < len(at):
+            spans = [slice(self.first[i], self.last[i]) for i in at[done:most]]
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+            yield score
+            done, most = most, 2 * most
 
 
 def order_shard(docs: list[np.ndarray], fill: int, window: int = WINDOW) -> Iterator[int]:
@@ -144,18 +147,18 @@ def order_shard(docs: list[np.ndarray], fill: int, window: int = WINDOW) -> Iter
     index, unused, at, left = Index(docs), np.ones(len(docs), dtype=bool), 0, len(docs)
     seed = None
     while left:
-        ranked: list[int] = []
-        if seed is not None:
-            score = np.where(unused, index.scores(seed), 0.0)
-            ranked = [int(i) for i in np.lexsort((np.arange(len(score)), -score))[: int((score > 0).sum())]]
         cut = False
-        for d in ranked:
-            unused[d] = False
-            left -= 1
-            yield d
-            fill += len(docs[d])
-            if fill >= window:
-                fill, seed, cut = fill % window, d, True
+        for scores in index.scores(seed) if seed is not None else ():
+            score = np.where(unused, scores, 0.0)
+            for d in map(int, np.lexsort((np.arange(len(score)), -score))[: int((score > 0).sum())]):
+                unused[d] = False
+                left -= 1
+                yield d
+                fill += len(docs[d])
+                if fill >= window:
+                    fill, seed, cut = fill % window, d, True
+                    break
+            if cut or not left:
                 break
         if not cut and left:
             while not unused[at]:

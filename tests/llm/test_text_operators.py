@@ -92,6 +92,15 @@ def test_mixed_documents(spark, docs, texts):
     assert {i: n for i, n in report.items() if n} == taken
 
 
+def test_neighbours_by_any_shared_term():
+    """The first document shares a rare term with each of 16 others, and a more common one with three more."""
+    end = packing.END_ID
+    docs = [[*range(1000, 1016), *[7] * 20, end], *([500 + i, end] for i in range(30)), *([1000 + i, end] for i in range(16)), *([7, 600 + i, end] for i in range(3))]
+    order = list(packing.order_shard([np.array(d, dtype="<u4") for d in docs], 0, 128))
+    assert sorted(order) == list(range(len(docs)))
+    assert order[0] == 0 and set(order[1:17]) == set(range(31, 47)) and set(order[17:20]) == {47, 48, 49} and order[20] == 1
+
+
 def test_mix_of_nothing(spark, empty):
     assert mixing.mix_report(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
     df = spark.createDataFrame([(1, "a b c", "en", "s", 5)] * 2 + [(2, None, None, None, None)], SCHEMA)

@@ -28,20 +28,36 @@ _HOMOGLYPHS = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | dict(zip("а
 _HOMOGLYPHS |= dict(zip("οανικ", "oavik")) | {chr(base + d): str(d) for base in (0x660, 0x6F0, 0x966) for d in range(10)} | {"․": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "−": "-"}
 _DIGIT = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _SPELLED = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
-_GAP = r"[\x20\t.,-]{1,3}"
+_GAP = r"[\x20\t.,()-]{1,3}"
+_DIGITS = f"(?:{_SPELLED}|[0-9]+)"
 _PAIR = re.compile(rf"{_SPELLED}[\x20\t.,-]")
 _RULES = re.compile(
-    rf"(?P<digits>(?<![A-Za-z])(?:plus{_GAP})?{_SPELLED}(?:{_GAP}{_SPELLED}){{6,}}(?![A-Za-z]))"
+    rf"(?P<digits>(?<![A-Za-z0-9])(?:plus{_GAP})?{_DIGITS}(?:{_GAP}{_DIGITS})+(?![A-Za-z]))"
     r"|(?P<at>\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?)"
     r"|(?P<dot>\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?)"
-    r"|(?P<plain>(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]+){0,3}\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+){0,3}\x20dot\x20(?:com|org|net|edu|gov|info|io|dev|app|ai|co|uk|us|eu|de|fr|es|ch|nl|pl|se|jp|cn|in|br|ca|au)(?![A-Za-z0-9-]))"
     r"|(?P<glyph>[" + "".join(map(re.escape, _HOMOGLYPHS)) + "])",
     re.IGNORECASE | re.ASCII,
 )
 _GLYPH = re.compile("[" + "".join(map(re.escape, _HOMOGLYPHS)) + "]")
 _BRACKETED = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]", re.IGNORECASE | re.ASCII)
-_WORDS = re.compile(r"[A-Za-z]+")
-_AT_DOT = re.compile(r"\x20(at|dot)\x20", re.IGNORECASE | re.ASCII)
+_MIXED = re.compile(rf"[0-9]{_GAP}{_SPELLED}(?![a-z])|(?<![a-z]){_SPELLED}{_GAP}[0-9]")
+_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
+_JOINT = r"(?:\.|\x20dot\x20|\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?)"
+_ANCHOR = re.compile(r"\x20at\x20|@|\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?", re.IGNORECASE | re.ASCII)
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_JOINT}[A-Za-z0-9-]++)+", re.IGNORECASE | re.ASCII)
+_PIECE = re.compile(rf"{_JOINT}([A-Za-z0-9-]++)", re.IGNORECASE | re.ASCII)
+_TOP = re.compile("[A-Za-z]{2,}|(?i:xn--)[A-Za-z0-9-]+")
+_DOT = re.compile(r"\x20dot\x20", re.IGNORECASE | re.ASCII)
+#: First words of what is looked at in prose ("at the dot on the map"), unless one of the commonest endings follows.
+_NO_HOST = frozenset("the a an this that these those each every my your his her its our their which what some any".split())
+_COMMON = frozenset("com org net edu gov".split())
+#: Words that stand before "at example.com" in prose, where it is a site and not the end of an address.
+_NO_LOCAL = frozenset(
+    "us me it them him you we they here there is are was were be been look looks site sites website page pages online available free more out up see "
+    "visit details blog blogs docs documentation code source sources home live now shop store or and also only both not project repository version "
+    "article articles post read find found download downloads based work works working worked hosted published posted looking browse start begin "
+    "buy sold listed sign register join check learn information reviews company software team listing located directly today again example".split()
+)
 
 
 def _luhn(digits: str) -> bool:
@@ -85,6 +101,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def plain_addresses(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, sign) of each spelled at and dot of addresses, in order: led by each at, whose sides are read up to the next."""
+    out: list[tuple[int, int, str]] = []
+    floor = 0
+    for at in _ANCHOR.finditer(text):
+        least, floor = floor, at.end()
+        host = _HOST.match(text, at.end())
+        if not host:
+            continue
+        top = None
+        for piece in _PIECE.finditer(host[0]):
+            top = piece if _TOP.fullmatch(piece[1]) else top
+        if not top:
+            continue
+        name, last = host[0][: top.end()], top[1].lower()
+        start, dots = at.start(), []
+        while True:
+            before = start
+            while start > least and text[start - 1] in _LOCAL:
+                start -= 1
+            if start == before:
+                break
+            if start - 5 > least and _DOT.match(text, start - 5) and text[start - 6] in _LOCAL:
+                dots.append((start - 5, start, "."))
+                start -= 5
+                continue
+            break
+        if text[start : at.start()].strip(".") == "":
+            continue
+        spelled = [(host.start() + d.start(), host.start() + d.end(), ".") for d in _DOT.finditer(name)]
+        first = re.match("[A-Za-z0-9-]+", name)[0].lower()
+        if at[0].lower() == " at ":
+            if first in _NO_HOST and last not in _COMMON:
+                continue
+            if not spelled and not dots and text[start : at.start()].lower() in _NO_LOCAL:
+                continue
+            out += [*reversed(dots), (at.start(), at.end(), "@"), *spelled]
+        else:
+            out += [*reversed(dots), *spelled]
+    return sorted(set(out))
+
+
 def normalise(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
     """(rewritten text, start of each rewritten piece there, its source span)."""
     parts: list[str] = []
@@ -102,19 +160,43 @@ def normalise(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
         size += len(new)
         done = b
 
+    def spell(m: re.Match) -> None:
+        """Spelled digits of a run. Seven or more of them alone are written together; else each is written where it stands."""
+        tokens = list(_TOKEN.finditer(m[0]))
+        words = [t[0].lower() for t in tokens if t[0].isalpha()]
+        plus = words[:1] == ["plus"]
+        if len(words) - plus >= 7 and not any(t[0].isdigit() for t in tokens):
+            put("+" * plus + "".join(_DIGIT[w] for w in words[plus:]), m.start(), m.end())
+        elif len(words) > plus:
+            for k, t in enumerate(tokens):
+                a, b, x = m.start() + t.start(), m.start() + t.end(), t[0]
+                if a < done:
+                    continue
+                if plus and k == 0:
+                    put("+", a, m.start() + tokens[1].end())
+                elif x.isalpha():
+                    put(_DIGIT[x.lower()], a, b)
+                elif not x.isdigit() and x not in ("-", " ") and not set(x) - set(" \t,-"):
+                    put(" ", a, b)
+
+    plain = plain_addresses(text)[::-1]
     for m in _RULES.finditer(text):
         kind = m.lastgroup
+        while plain and plain[-1][0] < m.start():
+            a, b, new = plain.pop()
+            if a >= done:
+                put(new, a, b)
+        if m.start() < done:
+            continue
         if kind == "digits":
-            plus = m[0][:4].lower() == "plus"
-            words = [w.lower() for w in _WORDS.findall(m[0])]
-            put("+" * plus + "".join(_DIGIT[w] for w in words[plus:]), m.start(), m.end())
+            spell(m)
         elif kind == "glyph":
             put(_HOMOGLYPHS.get(m[0], m[0]), m.start(), m.end())
-        elif kind == "plain":
-            for x in _AT_DOT.finditer(m[0]):
-                put("@" if x[1].lower() == "at" else ".", m.start() + x.start(), m.start() + x.end())
         else:
             put("@" if kind == "at" else ".", m.start(), m.end())
+    for a, b, new in reversed(plain):
+        if a >= done:
+            put(new, a, b)
     parts.append(text[done:])
     return "".join(parts), starts, sources
 
@@ -123,7 +205,9 @@ def _disguised(text: str) -> bool:
     if not text.isascii() and _GLYPH.search(text):
         return True
     low = text.lower()
-    if " dot " in low and " at " in low:
+    if " at " in low and ("." in low or " dot " in low) or "@" in low and " dot " in low:
+        return True
+    if _MIXED.search(low):
         return True
     if any(c in text for c in "[({<") and _BRACKETED.search(text):
         return True

@@ -75,6 +75,36 @@ def test_disguises_map_back(text, kind, source):
     assert (kind, source) in spans
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        *((f"mail jane at example dot {x} soon", "email", f"jane at example dot {x}") for x in ("ru", "it", "me", "biz", "online", "xyz", "com")),
+        ("jane at example.com", "email", "jane at example.com"),
+        ("ask jane@example dot com, please", "email", "jane@example dot com"),
+        ("a.b.c.d.e.f at mail.example dot org", "email", "a.b.c.d.e.f at mail.example dot org"),
+        ("a dot b dot c dot d dot e dot f at example dot org", "email", "a dot b dot c dot d dot e dot f at example dot org"),
+        ("jane [at] example dot org", "email", "jane [at] example dot org"),
+        ("call plus one 555 five five five 01 zero zero now", "phone", "plus one 555 five five five 01 zero zero"),
+        ("call +555 one two three four five six now", "phone", "+555 one two three four five six"),
+        ("card 4111 1111 1111 one one, one one x", "card", "4111 1111 1111 one one, one one"),
+        ("host 192.168.zero.one up", "ip", "192.168.zero.one"),
+    ],
+)
+def test_partly_spelled_disguises(text, kind, source):
+    spans = [(pii.KINDS[k], text[s:e]) for k, s, e in pii.find_pii(text)[1]]
+    assert (kind, source) in spans
+
+
+def test_sites_in_prose_get_no_spans():
+    for t in ("more is available at example.com today", "look at the dot in the map", "visit us at www.example.org", "one of 12 and two or 3, at 5 dot points"):
+        assert pii.find_pii(t)[1] == []
+
+
+def test_runs_of_disguises_take_linear_time():
+    for t in ("a dot " * 50_000, "a at " * 60_000, "x at a dot b " * 25_000, "one 1 " * 50_000, "a@b dot " * 40_000, "1 " * 150_000):
+        pii.find_pii(t)
+
+
 def test_plain_text_gets_no_spans():
     for t in ("meet at dot com", "one two three", "look at the dot on the map", "Москва и Киев", "été à Paris (at noon)"):
         assert pii.find_pii(t)[1] == []

@@ -5,14 +5,14 @@ of the hash range; a document too short to fill the buckets takes one minimum a
 that any two documents that could be linked share a form. Five registers make a band. Documents with equal shingle sets
 are one class, and only class representatives are banded. In each band bucket every member meets the bucket's smallest
 member; a collision-corrected estimate drops pairs that can't reach the threshold; the rest are confirmed on full shingle
-sets. Where a bucket still holds several components, its pairs across components are confirmed too; buckets over
-SMALL_BUCKET first split by every second band that its members share.
+sets. Where a bucket still holds several components, its pairs across components that share a second band are confirmed too,
+in buckets of every size.
 
-Joins by key are merge joins by hint: estimates of exploded rows are too low to let them decide on a broadcast.
+Joins by key are merge joins by hint: estimates of exploded rows are too low to let them decide on a broadcast. Texts are
+shuffled for each confirmation; what a phase leaves behind is released before the next begins.
 
-The threshold sets the band plan: as many rows a band as keep the chance that a linked pair shares no band below 1e-6, and that
-it shares one band only, which matters in a bucket over SMALL_BUCKET, below 2e-5 (24 bands of 5 rows at 0.85, 30 of 4 at
-0.80). The least estimate lies seven deviations below the threshold.
+The threshold sets the band plan: as many rows a band as keep the chance that a linked pair shares fewer than two bands below
+MISS (30 bands of 4 rows at 0.85 and at 0.80). The least estimate lies seven deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -25,19 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquiver.llm.common import arrow_schema, map_rows, spread
+from sparkquiver.llm.common import arrow_schema, free_name, map_rows, release, spread
 from sparkquiver.llm.shingles import mix, shingle_sets
 from sparkquiver.operators.components import connected_components, cut
 
-BANDS, ROWS, MANTISSA = 24, 5, 6
-REGISTERS = BANDS * ROWS
+#: Registers, registers a band unless a plan says otherwise, and bits of mantissa.
+REGISTERS, ROWS, MANTISSA = 120, 4, 6
+#: Chance that a pair at the threshold shares fewer than two bands.
+MISS = 5e-6
 #: Per cent of similarity from which documents are linked, unless a caller gives another.
 PER_CENT = 85
 #: Shingles from which buckets are filled well enough; documents up to SHORT / (threshold - 0.02) take hash functions as well.
 SHORT = 1024
-SMALL_BUCKET = 64
-#: Ids of dropped documents, of 8 bytes each, that are broadcast at most.
-IDS_SENT = 1_000_000
 #: Members of one representative that a task confirms at a time.
 STAR = 512
 EMPTY = 0xFFF
@@ -59,12 +58,12 @@ def band_plan(per_cent: int) -> tuple[int, float]:
     for rows in (5, 4, 3, 2, 1):
         share, bands = t**rows, REGISTERS // rows
         none = (1 - share) ** bands
-        if none < 1e-6 and none + bands * share * (1 - share) ** (bands - 1) < 2e-5:
+        if none + bands * share * (1 - share) ** (bands - 1) < MISS:
             return rows, t - 7.06 * sqrt(t * (1 - t) / REGISTERS)
     raise ValueError(f"no band plan for {per_cent} %")
 
 
-def _bands(registers: np.ndarray, rows: int) -> list[int]:
+def _bands(registers: np.ndarray, rows: int = ROWS) -> list[int]:
     shift = np.arange(rows, dtype=np.int64) * 12
     return (registers.reshape(-1, rows) << shift).sum(axis=1).tolist()
 
@@ -183,39 +182,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     described = cut(describe(df, id_col, text_col, per_cent))
     classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("short").alias("short"), F.first("long").alias("long"))
     classes = cut(classes)
+    described = cut(described.select("doc_id", "n_shingles", "key_a", "key_b"))
+    release(df.sparkSession)
     explode = lambda c, at: classes.where(F.col(c).isNotNull()).select("rep", F.posexplode(c).alias("band", "key")).withColumn("band", F.col("band") + at)
     buckets = explode("short", 0).unionByName(explode("long", REGISTERS // band_plan(per_cent)[0]))
     shared = buckets.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").drop("top")
     multi = cut(buckets.join(shared.hint("merge"), ["band", "key"]))
-    first = multi.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    first = cut(multi.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut(confirmed(_estimated(first, classes, per_cent), docs, per_cent))
     found = cut(connected_components(links))
+    release(df.sparkSession)
 
     label = found.select(F.col("node").alias("rep"), "component")
     here = multi.join(label.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = here.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    mixed = here.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
     here = cut(here.join(mixed.hint("merge"), ["band", "key"]))
-
-    def across(rows: DataFrame, on: list[str]) -> DataFrame:
-        left = rows.select(*on, F.col("rep").alias("a"), F.col("component").alias("p"), "pivot")
-        right = rows.select(*on, F.col("rep").alias("b"), F.col("component").alias("q"))
-        return left.join(right.hint("merge"), on).where("a < b and p <> q and a <> pivot").select("a", "b")
-
-    big = here.where(F.col("size") > SMALL_BUCKET)
-    second = big.join(buckets.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2")).hint("merge"), "rep").where("band <> band2")
-    rest = across(here.where(F.col("size") <= SMALL_BUCKET), ["band", "key"]).unionByName(across(second, ["band", "key", "band2", "key2"])).distinct()
+    second = here.join(buckets.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2")).hint("merge"), "rep").where("band < band2")
+    on = ["band", "key", "band2", "key2"]
+    left = second.select(*on, F.col("rep").alias("a"), F.col("component").alias("p"))
+    right = second.select(*on, F.col("rep").alias("b"), F.col("component").alias("q"))
+    rest = left.join(right.hint("merge"), on).where("a < b and p <> q").select("a", "b").distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
     more = cut(confirmed(_estimated(rest, classes, per_cent), docs, per_cent))
+    release(df.sparkSession)
     every = links.unionByName(more)
     final = connected_components(every)
     by_class = classes.select("key_a", "key_b", "n_shingles", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = described.select("doc_id", "n_shingles", "key_a", "key_b").join(by_class, ["key_a", "key_b", "n_shingles"], "left")
+    out = described.join(by_class, ["key_a", "key_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
-    """df without the rows whose document isn't the smallest of its component; of rows that share an id and are kept, all stay."""
-    gone = cut(near_duplicates(df, id_col, text_col, per_cent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    # Up to IDS_SENT ids, which are counted, go to every task; beyond that both sides are shuffled.
-    gone = F.broadcast(gone) if gone.count() <= IDS_SENT else gone.hint("merge")
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """df without the rows whose document isn't the smallest of its component; of rows that share an id and are kept, all stay.
+
+    Rows with a null id, or with no words, stay. Columns come back as they are, whatever their names; an empty df stays empty.
+    """
+    gone = free_name(df, "gone")
+    ids = cut(near_duplicates(df, id_col, text_col, per_cent).where("not kept").select(F.col("doc_id").alias(gone)).distinct())
+    release(df.sparkSession)
+    return df.join(ids.hint("merge"), F.col(id_col) == F.col(gone), "left_anti")

@@ -189,7 +189,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = buckets.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").drop("top")
     multi = cut(buckets.join(shared.hint("merge"), ["band", "key"]))
     first = cut(multi.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    links = cut(confirmed(_estimated(first, classes, per_cent), docs, per_cent))
+    near = cut(_estimated(first, classes, per_cent))
+    release(df.sparkSession)
+    links = cut(confirmed(near, docs, per_cent))
+    release(df.sparkSession)
     found = cut(connected_components(links))
     release(df.sparkSession)
 
@@ -202,7 +205,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = second.select(*on, F.col("rep").alias("a"), F.col("component").alias("p"))
     right = second.select(*on, F.col("rep").alias("b"), F.col("component").alias("q"))
     rest = left.join(right.hint("merge"), on).where("a < b and p <> q").select("a", "b").distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
-    more = cut(confirmed(_estimated(rest, classes, per_cent), docs, per_cent))
+    near = cut(_estimated(rest, classes, per_cent))
+    release(df.sparkSession)
+    more = cut(confirmed(near, docs, per_cent))
     release(df.sparkSession)
     every = links.unionByName(more)
     final = connected_components(every)

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sparkquiver.llm import embeddings, neardup
 from sparkquiver.llm.shingles import shingle_sets
@@ -110,9 +112,72 @@ def test_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
-def test_codes_are_unbiased_and_bounded():
-    rng = np.random.default_rng(7)
-    x = embeddings._unit(rng.standard_normal((400, 64)))
-    q = embeddings._unit(x + 0.15 * rng.standard_normal((400, 64)))
-    true = (x * q).sum(axis=1)
-    assert (embeddings.bound(x, q) >= true).mean() > 0.999
+def pairs_at(cosine, n=4000, dim=64, seed=7):
+    rng = np.random.default_rng(seed)
+    x = embeddings._unit(rng.standard_normal((n, dim)))
+    y = rng.standard_normal((n, dim))
+    y = embeddings._unit(y - (x * y).sum(axis=1)[:, None] * x)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * y
+
+
+@pytest.mark.parametrize("dim", [16, 64, 384])
+def test_codes_are_unbiased_and_bounded(dim):
+    for cosine in (0.3, 0.8, 0.95):
+        x, q = pairs_at(cosine, dim=dim)
+        a, b = embeddings.sketch(x), embeddings.sketch(q)
+        assert abs(embeddings.estimate(a[0], a[1], b[2], dim).mean() - cosine) < 0.01
+    keep = {c: embeddings.undecided(*(embeddings.sketch(v) for v in pairs_at(c, dim=dim)), dim, 0.95).mean() for c in (0.5, 0.8, 0.85, 0.9, 0.95, 0.97)}
+    assert keep[0.95] > 0.999 and keep[0.97] == 1.0
+    if dim >= 64:
+        assert keep[0.5] == 0 and keep[0.8] < 0.05 and keep[0.85] < 0.3 and (keep[0.8] + keep[0.85] + keep[0.9]) / 3 < 0.5
+
+
+def test_estimates_decide_which_vectors_are_joined(spark):
+    """Of pairs that share a band, the estimates reject most of those at 0.80 to 0.90 before a vector is read."""
+    x, y = pairs_at(0.85, n=300)
+    u, w = pairs_at(0.96, n=50, seed=8)
+    vectors = [*x, *y, *u, *w]
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "cls long, v array<double>")
+    sketches = embeddings.sketch(np.array(vectors))
+    marked = spark.createDataFrame([(i, 64, bytearray(c.tobytes()), f.tolist(), bytearray(q.tobytes())) for i, (c, f, q) in enumerate(zip(*sketches))], "cls long, dim int, code binary, factor array<double>, coordinate binary")
+    pairs = spark.createDataFrame([(i, 300 + i) for i in range(300)] + [(600 + i, 650 + i) for i in range(50)], "a long, b long")
+    left = embeddings.possible(pairs, marked, 0.95)
+    assert "cls" not in left.columns and left.where("a >= 600").count() == 50 and left.where("a < 600").count() < 90
+    assert embeddings.exact(pairs, marked, classes, 0.95).count() == 50
+
+
+def test_a_tight_cluster_costs_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((2, 64))
+    rows = [(i, (base[i % 2] + rng.standard_normal(64) * 0.02).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    kept = embeddings.exact
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return kept(pairs, *rest)
+
+    embeddings.exact = counted
+    try:
+        got = {(r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df).collect()}
+    finally:
+        embeddings.exact = kept
+    assert got == {(149, 0), (149, 1)} and sum(seen) < 10_000  # all pairs would be 22,350
+
+
+def test_names_that_clash(spark):
+    from sparkquiver.llm import mixing, quality, secrets
+
+    rows = [(1, "a b c d e f " * 20, "en", "s", 5), (2, "a b c d e f " * 20, "en", "s", 5), (3, "Bearer qZ8-r7tYw2Lk09sXvB4nM1 x", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    names = ("gone", "_gone", "key_id", "_key_id", "_key_text", "key_lang", "bad_key_id", "_source", "_id", "_mark", "_copy", "_ranges", "mix_ranges", "mix_doc_id", "plan_copy", "dotted.name", "back`tick", "text_", "m", "b")
+    for n in names:
+        df = df.withColumn(n, F.lit("keepme"))
+    df = df.withColumn("big", F.when(F.col("doc_id") == 1, F.lit((1 << 62) + 1)))
+    for f in (quality.keep_good, neardup.keep_one, secrets.redact_secrets, mixing.mix_documents):
+        out = f(df)
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+        assert all(r[n] == "keepme" for r in out.collect() for n in names)
+        assert all(r["big"] in (None, (1 << 62) + 1) for r in out.collect())
+    assert neardup.keep_one(df).count() == 2

@@ -125,6 +125,64 @@ def test_license_expressions():
     assert licenses.evaluate("MIT OR")[0] == ["mit"]
 
 
+def test_license_verdicts(spark):
+    texts = {
+        1: ("SPDX-License-Identifier: MIT OR GPL-3.0-only", "gpl-3.0-only,mit", 1.0, 1, True),
+        2: ("SPDX-License-Identifier: MIT AND GPL-3.0-only", "gpl-3.0-only,mit", 1.0, 1, False),
+        3: ("spdx license identifier please read the docs", "", 0.3, 0, None),
+        4: ("# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "gpl-2.0-only with linux-syscall-note,mit", 1.0, 2, False),
+        5: ("SPDX-License-Identifier: (MIT OR (Apache-2.0 and", "apache-2.0,mit", 1.0, 1, True),
+        6: ("SPDX-License-Identifier: LicenseRef-Own-1.2. All rights reserved", "all-rights-reserved,licenseref-own-1.2", 1.0, 1, False),
+        7: ("SPDX-License-Identifier:\nMIT", "", 0.3, 0, None),
+        8: ("a spdx license identifiers: MIT", "", 0.0, 0, None),
+        9: ("Permission is hereby granted, free of charge, to any person obtaining a copy; under the MIT License", "mit", 0.9, 0, None),
+        10: (None, "", 0.0, 0, None),
+    }
+    df = spark.createDataFrame([(i, x[0], None, None, None) for i, x in texts.items()], SCHEMA)
+    got = {r["doc_id"]: (r["labels"], r["score"], r["n_expressions"], r["permitted"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: x[1:] for i, x in texts.items()}
+
+
+def plain_labels(text):
+    """Labels and score of the phrases, one phrase at a time."""
+    words = " ".join(brute.lower(text or "").translate({i: " " for i in [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]}).split())
+    hits = [(label, weight) for p, (label, weight) in {**licenses.NOTICES, **{p: (x, 0.9) for p, x in licenses.BASE.items()}}.items() if f" {p} " in f" {words} "]
+    return ",".join(sorted({x for x, _ in hits})), max((w for _, w in hits), default=0.0)
+
+
+def test_notices_against_a_plain_search():
+    rng, automaton = random.Random(1), licenses.build_automaton()
+    words = sorted({w for p in [*licenses.NOTICES, *licenses.BASE] for w in p.split()}) + ["x", "é"]
+    phrases = [*licenses.NOTICES, *licenses.BASE]
+    for _ in range(2000):
+        parts = [rng.choice(phrases) if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randrange(12))]
+        text = "".join(p.replace(" ", rng.choice([" ", "-", ", ", "\n"])) + rng.choice([" ", ".", "\n"]) for p in parts)
+        text = text.upper() if rng.random() < 0.2 else text
+        got = licenses.scan_text(text, automaton)
+        assert (got[5], got[6]) == plain_labels(text)
+        assert got[:5] == brute.licenses(text)
+
+
+def test_expressions_against_sets():
+    """Evaluation by the parser against that of Python's own operators."""
+    rng = random.Random(2)
+    names = {"mit": True, "apache-2.0": True, "gpl-3.0-only": False, "mpl-2.0": False}
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            n = rng.choice([*names])
+            return n, names[n], str(names[n])
+        (a, _, x), (b, _, y) = made(depth - 1), made(depth - 1)
+        op = rng.choice(["and", "or"])
+        return f"({a} {op} {b})", None, f"({x} {op} {y})"
+
+    for _ in range(500):
+        text, _, python = made(4)
+        flat = text.replace("(", "").replace(")", "")
+        assert licenses.evaluate(text)[1] is eval(python)
+        assert licenses.evaluate(flat)[1] is eval(python.replace("(", "").replace(")", ""))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aA1fK@.+- ()[]:=\"'\n#é_pswordtk", max_size=80))
 def test_scans_of_any_text(text):
@@ -151,3 +209,17 @@ def test_long_texts_take_linear_time():
         secrets.find_secrets(t)
         pii.find_pii(t)
         licenses.scan_text(t, licenses.build_automaton())
+
+
+def test_a_million_digits_and_thousands_of_tags_take_linear_time():
+    import time
+
+    automaton, n = licenses.build_automaton(), 1_000_000
+    for t in ("1" * n + ".", "." + "1" * n + ".2", "1" * n + " plus one two." + "2" * n, "1.2." * (n // 4)):
+        began = time.perf_counter()
+        pii.find_pii(t)
+        assert time.perf_counter() - began < 5
+    for t in ("// SPDX-License-Identifier: MIT\n" * 20_000, "under the MIT license foo " * 20_000, "SPDX-License-Identifier: " + "(" * n, "SPDX-License-Identifier: MIT" + " OR MIT" * 100_000):
+        began = time.perf_counter()
+        licenses.scan_text(t, automaton)
+        assert time.perf_counter() - began < 5

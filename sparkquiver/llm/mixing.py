@@ -11,16 +11,20 @@ documents are dealt to buckets of about BUCKET rows for their running offsets, s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkquiver.llm.common import WORD
+from sparkquiver.llm.common import WORD, columns_of, free_name, replace_texts
 from sparkquiver.operators.components import cut
 
 BLOCK, SHARD, BUCKET = 256, 1024, 20_000
+#: Shards whose slots one window numbers.
+RUN = 4096
 WEIGHTS = (5, 2, 1)
 
 
@@ -99,7 +103,11 @@ def draw(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     shards = shards.withColumn("rest", (F.floor((F.col("shard") + 1) * F.col("parts") + 0.5) - F.floor(F.col("shard") * F.col("parts") + 0.5)).cast("int"))
     shards = shards.withColumn("drawn", F.expr(f"case when rest < 1 then 0 else size(filter(sequence(1, rest), r -> pmod(xxhash64({seed}, shard, r), 1099511627776) / 1099511627776D * parts >= lo and pmod(xxhash64({seed}, shard, r), 1099511627776) / 1099511627776D * parts < lo + part)) end"))
     shards = shards.withColumn("count", F.floor("each") + F.col("drawn"))
-    shards = shards.withColumn("at", F.coalesce(F.sum("count").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Running sums in two steps, so that no window holds all shards of a source.
+    shards = shards.withColumn("run", F.floor(F.col("shard") / RUN))
+    prior = Window.rowsBetween(Window.unboundedPreceding, -1)
+    runs = shards.groupBy("s", "run").agg(F.sum("count").alias("sum")).select("s", "run", F.coalesce(F.sum("sum").over(prior.partitionBy("s").orderBy("run")), F.lit(0)).alias("base"))
+    shards = shards.join(runs, ["s", "run"]).withColumn("at", F.col("base") + F.coalesce(F.sum("count").over(prior.partitionBy("s", "run").orderBy("shard")), F.lit(0)))
     slots = shards.where("count > 0").select("s", "n", "shard", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("count") - 1)).alias("slot")).where("slot < 2 * n")
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("n")).cast("int"))
     slots = slots.withColumn("block", _permuted(F.col("slot") % F.col("n"), F.col("n"), F.xxhash64("s", "epoch", F.lit(seed))))
@@ -143,23 +151,16 @@ def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options) -> DataFrame:
     """The mix as documents: for each row of df and each epoch that drew from it, a row with the drawn words in order.
 
-    A document that an epoch draws whole keeps its text as it is. A row that nothing was drawn from goes.
+    A document that an epoch draws whole keeps its text as it is. A row that nothing was drawn from, as one without words, goes.
+    Null sources are one source; repeated rows are drawn from each; other columns stay, whatever their names; an empty df stays empty.
     """
     _, pieces = draw(df, id_col, text_col, source_col, **options)
-    plan = pieces.groupBy("doc_id", "source", "mark", "copy", "epoch").agg(F.collect_list(F.struct("start", "words")).alias("_ranges"))
-    names = df.columns
-    keyed = df.withColumn("_source", F.col(source_col).cast("string")).withColumn("_id", F.col(id_col).cast("long")).withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_source", "_mark").orderBy(F.lit(0))))
-    plan = plan.select(*[F.col(c).alias(f"_p_{c}") for c in ("doc_id", "source", "mark", "copy", "epoch")], "_ranges")
-    on = F.col("_id").eqNullSafe(F.col("_p_doc_id")) & F.col("_source").eqNullSafe(F.col("_p_source")) & (F.col("_mark") == F.col("_p_mark")) & (F.col("_copy") == F.col("_p_copy"))
-    joined = keyed.join(plan.hint("merge"), on).select(*names, "_ranges")
-
-    def run(batches):
-        for pdf in batches:
-            new = [cut_words(t or "", [(int(r["start"]), int(r["words"])) for r in ranges]) for t, ranges in zip(pdf[text_col], pdf["_ranges"])]
-            if length_col in names:
-                pdf[length_col] = [n if a == b else len(a) for a, b, n in zip(new, pdf[text_col], pdf[length_col])]
-            pdf[text_col] = new
-            yield pdf.drop(columns="_ranges")
-
-    return joined.mapInPandas(run, df.schema)
+    key = ("doc_id", "source", "mark", "copy")
+    mine, theirs = {c: free_name(df, f"mix_{c}") for c in key}, {c: free_name(df, f"plan_{c}") for c in key}
+    ranges = free_name(df, "mix_ranges")
+    plan = pieces.groupBy(*key, "epoch").agg(F.collect_list(F.struct("start", "words")).alias(ranges)).select(*[F.col(c).alias(theirs[c]) for c in key], ranges)
+    keyed = df.select("*", F.col(id_col).cast("long").alias(mine["doc_id"]), F.col(source_col).cast("string").alias(mine["source"]), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(mine["mark"]))
+    keyed = keyed.withColumn(mine["copy"], F.row_number().over(Window.partitionBy(*[mine[c] for c in key[:3]]).orderBy(F.lit(0))))
+    on = reduce(Column.__and__, [F.col(mine[c]).eqNullSafe(F.col(theirs[c])) for c in key])
+    joined = keyed.join(plan.hint("merge"), on).select(*columns_of(df), ranges)
+    return replace_texts(joined, text_col, length_col, lambda t, r: cut_words(t or "", [(x["start"], x["words"]) for x in r]), drop=ranges)

@@ -6,11 +6,11 @@ of the histograms of all documents of that language that pass the base rules, by
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquiver.functions.text import let
+from sparkquiver.llm.common import columns_of, free_name, spread
 from sparkquiver.operators.components import cut
 
 _SPACES = "[\\x20\\x09-\\x0D]"
@@ -94,15 +94,20 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     row; an empty table gives none. A language without a passing document has no reference: its documents go by base rules.
     """
     one = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("_l"), F.col(text_col).alias("text"))
-    m = cut(base_measures(one, "text", ("doc_id", "_l")))
+    m = cut(base_measures(spread(one), "text", ("doc_id", "_l")))
     return judge(m, "_l").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """df without the rows that are rejected. Rows are told apart by id and text; equal rows share a verdict."""
-    key = {"_key_id": F.col(id_col).cast("long"), "_key_text": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "_key_lang": F.col(lang_col).cast("string")}
+    """df without the rows that are rejected. Rows are told apart by id, text and language; equal rows share a verdict.
+
+    A row with a null or empty text goes, as the base rules reject it; null ids and languages are values like others; columns
+    come back as they are, whatever their names; an empty df stays empty.
+    """
+    key = {free_name(df, "key_id"): F.col(id_col).cast("long"), free_name(df, "key_text"): F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), free_name(df, "key_lang"): F.col(lang_col).cast("string")}
+    k_id, k_text, k_lang = key
     m = cut(base_measures(df.select(*[c.alias(k) for k, c in key.items()], F.col(text_col).alias("text")), "text", tuple(key)))
-    bad = judge(m, "_key_lang").where(~F.col("kept")).select(*[F.col(k).alias(f"_bad{k}") for k in key]).distinct()
-    marked = df.select("*", *[c.alias(k) for k, c in key.items()])
-    on = F.col("_key_id").eqNullSafe(F.col("_bad_key_id")) & (F.col("_key_text") == F.col("_bad_key_text")) & F.col("_key_lang").eqNullSafe(F.col("_bad_key_lang"))
-    return marked.join(bad, on, "left_anti").select(*df.columns)
+    bad = judge(m, k_lang).where(~F.col("kept")).select(*[F.col(k).alias(f"bad_{k}") for k in key]).distinct().alias("b")
+    marked = df.select("*", *[c.alias(k) for k, c in key.items()]).alias("m")
+    on = F.col(f"m.{k_id}").eqNullSafe(F.col(f"b.bad_{k_id}")) & (F.col(f"m.{k_text}") == F.col(f"b.bad_{k_text}")) & F.col(f"m.{k_lang}").eqNullSafe(F.col(f"b.bad_{k_lang}"))
+    return marked.join(bad, on, "left_anti").select(*columns_of(df))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquiver.llm.common import map_rows, spread
+from sparkquiver.llm.common import map_rows, replace_texts, spread
 from sparkquiver.llm.packing import tokenizer_path
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -211,16 +211,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """df with its secrets masked and its length column, if it has one, set to the new length. All rows stay."""
-    names, schema = df.columns, df.schema
-
-    def run(batches):
-        for pdf in batches:
-            new = [redact(t) for t in pdf[text_col]]
-            if length_col in names:
-                changed = [a != b for a, b in zip(new, pdf[text_col])]
-                pdf[length_col] = [len(a) if c else b for a, b, c in zip(new, pdf[length_col], changed)]
-            pdf[text_col] = new
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+    """df with its secrets masked and its length column, if it has one, set to the new length of a changed text. All rows stay.
+
+    A null text stays null; other columns stay as they are, whatever their names; an empty df stays empty.
+    """
+    return replace_texts(df, text_col, length_col, redact)

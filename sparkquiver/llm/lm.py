@@ -5,7 +5,8 @@ segmentations of the training words. A word's probability sums over all its segm
 no piece holds a word's beginning but as its first character, so a text's marginal is the product of its words' and the end's.
 
 Counts follow the data: a task counts its words, the words' counts are summed by word, and each group of documents is sent the
-counts and lattice scores of just the words that it holds.
+counts and lattice scores of just the words that it holds. Rows are dealt to groups whatever their ids, and there are as many
+groups as keep their texts near GROUP_BYTES, so that neither a repeated id nor a null one makes a group that outgrows a task.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from sparkquiver.llm.common import arrow_schema, map_rows, spread
 from sparkquiver.operators.components import cut
 
-#: Documents a group; a group's words are one task's dictionary.
-GROUP = 4096
+#: Bytes of text a group; a group's words are one task's dictionary.
+GROUP_BYTES = 8_000_000
 #: Distinct words that a task counts before it passes them on.
 HELD = 300_000
 SMOOTH = 0.1
@@ -150,13 +151,14 @@ def count_pieces(words: DataFrame, path: str) -> dict[int, int]:
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of df.
 
-    Null, empty or blank text is its end alone. Repeated rows count and are scored each. A null id counts as the text "".
+    Null, empty or blank text is its end alone. Repeated rows count and are scored each. A null id counts as the text "". An empty
+    df gives no row; its other columns, whatever their names, don't matter.
     Scores are log10 probabilities; without training texts every word is unknown and scores come from smoothing alone.
     """
     path = path or vocabulary_path()
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    n_docs, ends = docs.agg(F.count(F.lit(1)), F.count_if(~held)).first()
+    size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0)), F.count_if(~held)).first()
     words = cut(count_words(docs))
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, kinds = total + ends, kinds + (ends > 0)
@@ -171,9 +173,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
         return f
 
     table = map_rows(words, ["word", "c"], "word string, c long, p double", scored)
-    groups = max(1, -(-n_docs // GROUP))
+    groups = max(1, -(-size // GROUP_BYTES))
     parts = max(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text").repartition(parts, "g")
+    # A row's place in the scan deals it; both uses of the groups read one shuffle.
+    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("g"), "doc_id", "text").repartition(parts, "g")
 
     def asked():
         want: dict[int, set] = {}

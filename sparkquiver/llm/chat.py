@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprint.
 
 A record's nested field paths, sorted and hashed, are its fingerprint; the fingerprint selects a declarative mapping
-that turns the record's layout into canonical (role, text) turns. Formatting marks turns with control strings, which are
+that turns the record's layout into canonical (role, text) turns. Rows of a turn table are records too, and rows of other layouts
+may stand among them; what is null in a row isn't in its fingerprint. Formatting marks turns with control strings, which are
 escaped inside texts, reversibly, so that no text can forge a turn; the loss mask covers assistant texts.
 """
 
@@ -11,9 +12,11 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkquiver.llm.common import map_rows
 
@@ -59,39 +62,55 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-#: Each mapping: where turns lie, or which fields make which turns, in order. A list of fields is joined by blank lines.
+_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+
+
+def _with(required: str, optional: str = "") -> list[set[str]]:
+    """The required fields with each choice of the optional ones."""
+    extra = optional.split()
+    return [{*required.split(), *some} for k in range(len(extra) + 1) for some in combinations(extra, k)]
+
+
+#: Each mapping: where turns lie, or which fields make which turns, in order. A list of fields is joined by blank lines. `one` is a
+#: record that is a turn itself. Roles are kept as they are unless the mapping renames them.
 _LAYOUTS: list[tuple[dict, list[set[str]]]] = [
-    ({"each": "messages", "role": "role", "text": "content"}, [{"messages[].role", "messages[].content"}]),
-    ({"each": "messages", "role": "role", "text": "text", "order": "turn"}, [{"messages[].role", "messages[].text", "messages[].turn"}, {"messages[].role", "messages[].text"}]),
-    ({"each": "conversations", "role": "from", "text": "value"}, [{"conversations[].from", "conversations[].value"}]),
-    ({"system": "system", "user": ["instruction", "input"], "assistant": ["output"]}, [{"instruction", "output"}, {"instruction", "input", "output"}, {"system", "instruction", "output"}, {"system", "instruction", "input", "output"}]),
-    ({"user": ["prompt"], "assistant": ["completion"]}, [{"prompt", "completion"}]),
-    ({"user": ["prompt"], "assistant": ["response"]}, [{"prompt", "response"}]),
-    ({"system": "system_prompt", "user": ["question"], "assistant": ["answer"]}, [{"question", "answer"}, {"system_prompt", "question", "answer"}]),
+    ({"one": True, "role": "role", "text": "text"}, _with("text", "role turn")),
+    ({"one": True, "role": "role", "text": "content"}, _with("content", "role turn")),
+    ({"one": True, "role": "from", "text": "value", "roles": _ROLES}, _with("value", "from turn")),
+    ({"each": "messages", "role": "role", "text": "content"}, _with("messages[].content messages[].role", "turn")),
+    ({"each": "messages", "role": "role", "text": "text", "order": "turn"}, _with("messages[].role messages[].text", "messages[].turn turn")),
+    ({"each": "conversations", "role": "from", "text": "value", "roles": _ROLES}, _with("conversations[].from conversations[].value", "turn")),
+    ({"system": "system", "user": ["instruction", "input"], "assistant": ["output"]}, _with("instruction output", "system input turn")),
+    ({"user": ["prompt"], "assistant": ["completion"]}, _with("prompt completion", "turn")),
+    ({"user": ["prompt"], "assistant": ["response"]}, _with("prompt response", "turn")),
+    ({"system": "system_prompt", "user": ["question"], "assistant": ["answer"]}, _with("question answer", "system_prompt turn")),
 ]
 MAPPINGS = {fingerprint(paths): spec for spec, shapes in _LAYOUTS for paths in shapes}
-_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: The layout that rows of a turn table have once a conversation's rows are nested.
-ROWS = fingerprint({"messages[].role", "messages[].text", "messages[].turn"})
+#: Rows of a turn table are turns even where their text is null.
+ROW_MAPPINGS = MAPPINGS | {fingerprint(paths): _LAYOUTS[0][0] for paths in _with("", "role turn")}
 
 
 def canonical(record: dict, mappings: dict[str, dict] = MAPPINGS) -> tuple[str, list[tuple[str, str]]]:
     """(fingerprint, turns); no turns where no mapping is known for the fingerprint."""
     key = fingerprint(field_paths(record))
     spec = mappings.get(key)
-    if spec is None:
-        return key, []
-    if "each" in spec:
-        items = list(record[spec["each"]])
+    return key, [] if spec is None else turns_of(record, spec)
+
+
+def turns_of(record: dict, spec: dict) -> list[tuple[str, str]]:
+    """The (role, text) turns of a record by a mapping."""
+    if "one" in spec or "each" in spec:
+        items = [record] if "one" in spec else list(record[spec["each"]])
         if "order" in spec:
             items.sort(key=lambda m: m.get(spec["order"]) or 0)
-        return key, [(_ROLES.get(r, r), m.get(spec["text"]) or "") for m in items for r in [str(m.get(spec["role"]) or "")]]
+        roles = spec.get("roles", {})
+        return [(roles.get(r, r), str(t)) for m in items for r, t in [(str(m.get(spec["role"]) or ""), m.get(spec["text"]) or "")]]
     turns = []
     for role, fields in spec.items():
         parts = [str(record[f]) for f in ([fields] if isinstance(fields, str) else fields) if record.get(f)]
         if parts or role != "system":
             turns.append((role, "\n\n".join(parts)))
-    return key, turns
+    return turns
 
 
 def format_records(df: DataFrame, json_col: str = "record", id_col: str = "id") -> DataFrame:
@@ -123,38 +142,55 @@ def format_records(df: DataFrame, json_col: str = "record", id_col: str = "id")
     return map_rows(one, ["id", "record"], "id string, fingerprint string, formatted string, loss_spans array<array<long>>, n_turns long", make)
 
 
-def format_rows(df: DataFrame) -> DataFrame:
+def format_rows(df: DataFrame, fields: tuple[str, ...] = ("turn", "role", "text")) -> DataFrame:
     """(conv_id, position, formatted, loss_start, loss_end): one formatted piece a turn, conversations in order of turn.
 
-    df: (conv_id, turn, role, text). Each row, nested as a one-message record, goes through the mapping that its
-    fingerprint selects; concatenating a conversation's pieces by position gives the whole. Nulls in role or text are empty; a null turn comes
-    first; ties go by role, then text; repeated rows stay; rows with a null conv_id are one conversation.
-    A conversation is a sorted run that a task streams, so that its length doesn't matter.
+    df: (conv_id, turn, ...). A row's record is what is in its columns `fields` and not null; its fingerprint selects the mapping
+    that gives its turns, one or several. Concatenating a conversation's pieces by position gives the whole. Null roles and
+    texts are empty; a null turn comes first; ties go by the other fields; repeated rows stay; rows with a null conv_id are one
+    conversation; a row that no mapping fits gives no turn; an empty df gives no piece. Other columns, whatever their names, don't
+    matter. A conversation is a sorted run that a task streams, so that its length doesn't matter.
     """
-    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    names = list(fields)
+    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), *[F.col(c).cast("long").alias(c) if c == "turn" else F.col(c) for c in names])
+    order = [F.coalesce(F.col(c), F.lit("")) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c) for c in names]
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+    nested = {c for c in names if not isinstance(df.schema[c].dataType, T.AtomicType)}
 
     def make():
-        spec = MAPPINGS[ROWS]
         now, position = object(), 0
+        known: dict[tuple, dict | None] = {}  # mapping by which plain fields are there
 
-        def f(ids: list, turns: list, roles: list, texts: list) -> Iterator[tuple]:
+        def f(ids: list, *columns: list) -> Iterator[tuple]:
             nonlocal now, position
-            for i, turn, role, text in zip(ids, turns, roles, texts):
-                position = position + 1 if i == now else 0
-                now = i
-                record = {spec["each"]: [{spec["order"]: turn or 0, spec["role"]: role, spec["text"]: text}]}
-                _, [(who, body)] = canonical(record)
-                piece, a, b = render(who, body)
-                yield (i, position, piece, *((a, b) if who == "assistant" else (None, None)))
+            for i, *values in zip(ids, *columns):
+                if i != now:
+                    now, position = i, 0
+                record = {c: v for c, v in zip(names, values) if v is not None}
+                flat = not nested & record.keys()
+                shape = tuple(record) if flat else None
+                if shape is None or shape not in known:
+                    spec = ROW_MAPPINGS.get(fingerprint(field_paths(record)))
+                    if flat:
+                        known[shape] = spec
+                else:
+                    spec = known[shape]
+                for who, body in turns_of(record, spec) if spec else ():
+                    piece, a, b = render(who, body)
+                    yield (i, position, piece, *((a, b) if who == "assistant" else (None, None)))
+                    position += 1
 
         return f
 
-    return map_rows(rows, ["conv_id", "turn", "role", "text"], "conv_id long, position long, formatted string, loss_start long, loss_end long", make)
+    return map_rows(rows, ["conv_id", *names], "conv_id long, position long, formatted string, loss_start long, loss_end long", make)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """A digest of each conversation from its formatted pieces alone, which keep the order and place that format_rows gave."""
+    """A digest of each conversation from its formatted pieces alone, which keep the order and place that format_rows gave.
+
+    Roles and texts come from parsing the formatted text; what is under the loss mask is unescaped and digested in order. A null
+    conv_id is a conversation of its own; no pieces give no row.
+    """
     schema_ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, last boolean"
 
     def run(batches):

@@ -173,7 +173,9 @@ def order_shard(docs: list[np.ndarray], fill: int, window: int = WINDOW) -> Iter
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row a piece; window is a power of two.
 
-    Null or empty text is the end id alone. Repeated rows are packed each. An empty table gives no sequence.
+    Null or empty text is the end id alone. Repeated rows are packed each; a null id is kept. An empty table gives no sequence.
+    Which documents share a window follows the splits of df, as shards lie within them: another number of cores or files may
+    give other windows, never other ids. Other columns, whatever their names, don't matter.
     """
     path = path or tokenizer_path()
 

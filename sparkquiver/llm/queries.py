@@ -19,7 +19,9 @@ def op2_near_dedup(spark, sf_dir):
 
 
 def op3_quality_rules(spark, sf_dir):
-    return quality.quality(table(spark, sf_dir, "documents"))
+    """Distances to six places, as sums of doubles follow their order."""
+    rows = quality.quality(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op4_license_scan(spark, sf_dir):
@@ -35,9 +37,11 @@ def op6_source_mix(spark, sf_dir):
 
 
 def op7_chat_format(spark, sf_dir):
+    """Rows of the table, a turn each, and conversation -1 as a record of another layout; the fingerprint tells them apart."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    forged = spark.createDataFrame([(-1, 0, "user", FORGED), (-1, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_rows(rows.unionByName(forged)))
+    forged = spark.createDataFrame([(-1, [("user", FORGED), ("assistant", FORGED)])], "conv_id long, messages array<struct<role:string,content:string>>")
+    both = rows.unionByName(forged, allowMissingColumns=True)
+    return chat.read_back(chat.format_rows(both, ("turn", "role", "text", "messages")))
 
 
 def op8_pii(spark, sf_dir):

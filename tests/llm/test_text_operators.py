@@ -80,6 +80,33 @@ def test_mix_targets(spark):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_draw_against_its_definition(spark, docs, texts):
+    """Each slot of a source takes the block that the permutation of its epoch gives, no block comes twice in an epoch, and the
+    pieces of an epoch's blocks are the documents' words, each once."""
+    rows, pieces = mixing.draw(docs, block=16)
+    pieces, sizes = pieces.collect(), {r["doc_id"]: (r["size"], r["source_size"], r["target"]) for r in rows.collect()}
+    assert {i: n for i, (n, _, _) in sizes.items()} == {i: len(brute.WORD.findall(t or "")) for i, t in texts.items()}
+    by_source = defaultdict(list)
+    for r in pieces:
+        by_source[r["source"]].append(r)
+    for source, mine in by_source.items():
+        slots = {r["slot"]: (r["epoch"], r["block"], r["shard"]) for r in mine}
+        assert sorted(slots) == list(range(len(slots)))  # no slot is left out, and each is one block
+        assert len({(e, b) for e, b, _ in slots.values()}) == len(slots)
+        n = min(k for k in range(1, 10_000) if all(b < k for _, b, _ in slots.values()) and all(e == s // k for s, (e, _, _) in slots.items()))
+        assert {b for e, b, _ in slots.values() if e == 0} == set(range(n)) or len(slots) < n
+        shards = [s for _, (_, _, s) in sorted(slots.items())]
+        assert shards == sorted(shards)
+        words = defaultdict(list)
+        for r in mine:
+            words[(r["epoch"], r["doc_id"])].append((r["start"], r["words"]))
+        for (epoch, i), spans in words.items():
+            spans.sort()
+            assert all(a + k <= b for (a, k), (b, _) in zip(spans, spans[1:])) and spans[-1][0] + spans[-1][1] <= sizes[i][0]
+            if len(slots) >= (epoch + 1) * n:  # a whole epoch has each word of the document once
+                assert sum(k for _, k in spans) == sizes[i][0]
+
+
 def test_mixed_documents(spark, docs, texts):
     out = mixing.mix_documents(docs, block=16).collect()
     taken = defaultdict(int)
@@ -160,6 +187,36 @@ def test_layouts(spark, record, turns):
     assert [chat.unescape(r["formatted"][a:b]) for a, b in r["loss_spans"]] == [t for w, t in turns if w == "assistant"]
 
 
+def test_roles_of_turn_tables_stay(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "assistant", "c"), (2, 0, None, "x"), (2, 1, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_rows(df)).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"human\na\ngpt\nb\nassistant\nc\n").hexdigest()
+    assert (got[1]["loss_chars"], got[1]["loss_sha256"]) == (1, hashlib.sha256(b"c").hexdigest())
+    assert got[2]["turns_sha256"] == hashlib.sha256(b"\nx\nassistant\n\n").hexdigest() and got[2]["n_turns"] == 2
+
+
+def test_rows_of_several_layouts(spark):
+    """What is in a row selects its mapping; a row that none fits gives no turn."""
+    ddl = "conv_id long, turn long, role string, text string, messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, prompt string, completion string"
+    rows = [
+        (1, 0, "user", "a", None, None, None, None),
+        (1, 1, None, None, [("assistant", "b"), ("user", "c")], None, None, None),
+        (2, 0, None, None, None, [("human", "d"), ("gpt", FORGED)], None, None),
+        (3, 0, None, None, None, None, "p", "q"),
+        (4, 0, None, None, None, None, "p", None),
+        (4, 1, "user", None, None, None, None, None),
+    ]
+    fields = ("turn", "role", "text", "messages", "conversations", "prompt", "completion")
+    pieces = chat.format_rows(spark.createDataFrame(rows, ddl), fields).orderBy("conv_id", "position").collect()
+    got = defaultdict(list)
+    for r in pieces:
+        assert r["position"] == len(got[r["conv_id"]])
+        got[r["conv_id"]] += chat.parse(r["formatted"])
+        assert (r["loss_start"] is not None) == (got[r["conv_id"]][-1][0] == "assistant")
+    assert got == {1: [("user", "a"), ("assistant", "b"), ("user", "c")], 2: [("user", "d"), ("assistant", FORGED)], 3: [("user", "p"), ("assistant", "q")], 4: [("user", "")]}
+
+
 def all_segmentations(lattice, s):
     """Sum over segmentations, one by one."""
     if not s:
@@ -187,6 +244,57 @@ def test_scores(docs, documents, texts):
         assert math.isclose(r["base_score"], w[4], rel_tol=1e-9) and r["score"] < 0
 
 
+def test_model_scores_against_a_plain_version(docs, documents, texts):
+    """Piece counts, lattice and sums as a single process makes them."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=lm.vocabulary_path())
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
+    words = {i: brute.WORD.findall(brute.lower(t or "")) for i, t in texts.items()}
+    counts = defaultdict(int)
+    for i in train:
+        for w in words[i]:
+            for p in sp.encode(w):
+                counts[p] += 1
+    lattice = lm.Lattice(lm.vocabulary_path(), counts, len(train))
+    for r in lm.score(docs).collect():
+        assert math.isclose(r["score"], (sum(map(lattice.word, words[r["doc_id"]])) + lattice.end) / math.log(10), rel_tol=1e-9)
+
+
+def test_rows_of_one_id_are_scored_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_BYTES", 500)
+    df = spark.createDataFrame([(None, f"one two w{i % 7}", None, None, None) for i in range(200)], SCHEMA)
+    rows = lm.score(df).collect()
+    assert len(rows) == 200 and len({r["score"] for r in rows}) <= 7 and {r["n_tokens"] for r in rows} == {4}
+
+
+def test_neighbours_are_those_of_plain_bm25():
+    rng = np.random.default_rng(1)
+    docs = [np.concatenate([rng.zipf(1.4, rng.integers(1, 120)).clip(max=300) + 10, [packing.END_ID]]).astype(np.uint32) for _ in range(60)]
+    index, mean = packing.Index(docs), np.mean([len(d) for d in docs])
+    for d in range(20):
+        want = np.zeros(60)
+        for t in set(docs[d].tolist()) - {packing.END_ID}:
+            df = sum(t in x for x in docs)
+            if df > 1:
+                idf = math.log(1 + (60 - df + 0.5) / (df + 0.5))
+                for k, x in enumerate(docs):
+                    tf = int((x == t).sum())
+                    want[k] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
+        *_, got = [np.zeros(60), *index.scores(d)]
+        assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_very_long_texts(spark):
+    text = "word other " * 300_000
+    df = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "short text", "en", "s", 10)], SCHEMA)
+    from sparkquiver.llm import quality
+
+    assert {r["doc_id"]: r["n_words"] for r in quality.quality(df).collect()} == {1: 600_000, 2: 2}
+    assert {r["doc_id"]: r["n_tokens"] for r in lm.score(df).collect()} == {1: 600_001, 2: 3}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_report(df).collect()} == {1: 600_000, 2: 2}
+
+
 def test_scores_of_nothing(spark, empty):
     assert lm.score(empty).count() == 0
     held = [i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0][:2]

@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparkquiver")
     p.add_argument("--db", default=".sparkquiver")
     p.add_argument("--root", default=".")
+    p.add_argument("--unique-ids", action="store_true", help="put the path into node ids")
     sub = p.add_subparsers(dest="command", required=True)
     add = lambda name, *args: [c.add_argument(*a, **k) for c in [sub.add_parser(name)] for a, k in args]
     arg = lambda *a, **k: (a, k)
@@ -63,7 +64,7 @@ def show(result: object) -> None:
 
 
 def run(a: argparse.Namespace, spark: SparkSession) -> object:
-    e = GraphEngine(spark, a.db, root=a.root)
+    e = GraphEngine(spark, a.db, root=a.root, unique_ids=a.unique_ids)
     way = a.direction if getattr(a, "direction", None) in DIRECTIONS else "inbound"
     match a.command:
         case "build":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ from sparkquiver.sources.store import GraphStore
 from sparkquiver.sources.walk import MAX_BYTES, changed_paths, read_files
 
 
-def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parse_files(files: DataFrame, unique_ids: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, coverage) of files (path, size_bytes, text, language): each is scanned where its text lies."""
+
     def run(batches):
         import json
 
@@ -38,7 +40,7 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     out.append(("coverage", None, path, "skipped" if skipped else "parse_error", "file too large" if skipped else "file can't be read as UTF-8"))
                     continue
                 try:
-                    p = parse_file(path, text, language)
+                    p = parse_file(path, text, language, unique_ids)
                 except Exception as e:  # a file that can't be read is reported, and the others go on
                     out.append(("coverage", None, path, "parse_error", str(e)))
                     continue
@@ -60,8 +62,9 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 class GraphEngine:
     name = "sparkquiver"
 
-    def __init__(self, spark: SparkSession, store: str | Path | None = None, graph: Graph | None = None, read_only: bool = False, root: str | Path | None = None) -> None:
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, store: str | Path | None = None, graph: Graph | None = None, read_only: bool = False, root: str | Path | None = None, unique_ids: bool = False) -> None:
+        """unique_ids puts the path into node ids, so that definitions of one kind, name and line in two files stay apart."""
+        self.spark, self.root, self.unique_ids = spark, root, unique_ids
         self.store = GraphStore(spark, store, read_only) if store is not None else None
         self._graph = graph
 
@@ -96,7 +99,7 @@ class GraphEngine:
         """Index a tree anew: scan files, resolve names, and relate similar definitions."""
         self.root = root
         files = self._snapshot(root)
-        nodes, edges, coverage = parse_files(files)
+        nodes, edges, coverage = parse_files(files, self.unique_ids)
         nodes = cut(resolve.last_wins(nodes, ["id"], "seq").select(*schema.columns(schema.NODE)))
         edges = cut(resolve.resolve_references(nodes, edges))
         table = complete(files.select("path", "language", "mtime", "content_hash", F.lit(int(time.time())).alias("indexed_at")), schema.FILE)
@@ -107,16 +110,10 @@ class GraphEngine:
         return self._counts()
 
     def relate(self, g: Graph) -> Graph:
-        """g with its similarity edges made anew."""
-        n = g.nodes.where(F.col("kind").isin(*schema.CALLABLE_KINDS) & F.col("signature").isNotNull())
-        sig = similarity.signatures_of(n, F.concat_ws(" ", "name", "signature"))
-        profile = n.select("id", similarity.decode_vector(F.try_element_at("extra", F.lit("ast_profile")), 25).alias("p"))
-        sig = cut(sig.join(profile, "id").withColumn("ast_profile", F.coalesce("p", "ast_profile")).drop("p"))
-        vec = similarity.document_vectors(sig, similarity.random_index_corpus(sig))
-        calls = g.edges.where("kind = 'calls'")
-        sig = sig.join(similarity.diffuse(vec, calls).withColumnRenamed("vec", "ri_vec"), "id")
-        new = complete(similarity.as_edges(similarity.semantic_edges(cut(sig))), schema.EDGE).withColumn("seq", F.xxhash64("id"))
-        return Graph(g.nodes, cut(g.edges.where("kind <> 'semantically_related'").unionByName(new)), g.files, g.coverage)
+        """g with its similarity edges, and the vectors that they come from, made anew."""
+        vec, pairs = similarity.related(g)
+        new = complete(similarity.as_edges(pairs), schema.EDGE).withColumn("seq", F.xxhash64("id"))
+        return Graph(g.nodes, cut(g.edges.where("kind <> 'semantically_related'").unionByName(new)), g.files, g.coverage, complete(vec, schema.EMBEDDING), g.postings)
 
     def update(self, root: str | Path) -> dict:
         """Index what changed since the last time; without an index, everything."""
@@ -142,13 +139,24 @@ class GraphEngine:
     def _replace(self, snapshot: DataFrame, diff: DataFrame) -> None:
         fresh = snapshot.join(diff.where("action in ('changed', 'added')").select("path"), "path", "left_semi")
         gone = diff.where("action in ('changed', 'removed')").select("path")
-        nodes, edges, coverage = parse_files(fresh)
+        nodes, edges, coverage = parse_files(fresh, self.unique_ids)
         g = incremental.replace_files(self.graph, gone, nodes, edges)
         refreshed = snapshot.join(diff.where("action <> 'skip'").select("path"), "path", "left_semi")
         table = complete(refreshed.select("path", "language", "mtime", "content_hash", F.lit(int(time.time())).alias("indexed_at")), schema.FILE)
         files = self.graph.files.join(diff.where("action <> 'skip'").select("path"), "path", "left_anti").unionByName(table)
         old = self.graph.coverage.join(diff.where("action in ('changed', 'added', 'removed')").select("path"), "path", "left_anti")
-        self._save(Graph(cut(g.nodes), cut(g.edges), cut(files), cut(old.unionByName(coverage))))
+        self._save(Graph(cut(g.nodes), cut(g.edges), cut(files), cut(old.unionByName(coverage)), *self._kept(g)))
+
+    def _kept(self, g: Graph) -> tuple[DataFrame | None, DataFrame | None]:
+        """The vectors and the search index for g: what changed since is put in anew, vectors from the definitions alone until
+        they are related again."""
+        vectors, index = self.graph.embeddings, self.graph.postings
+        if vectors is not None:
+            said = lambda d: d.select("id", F.struct("kind", "name", "signature").alias("said"))
+            same = said(self.graph.nodes).intersect(said(g.nodes)).select("id")
+            fresh = similarity.provisional_vectors(g.nodes.join(same, "id", "left_anti"))
+            vectors = cut(vectors.join(same, "id", "left_semi").unionByName(complete(fresh, schema.EMBEDDING)))
+        return vectors, None if index is None else cut(search.updated_index(index, self.graph.nodes, g.nodes))
 
     def _counts(self) -> dict[str, int]:
         r = analytics.stats(self.graph).first()
@@ -233,7 +241,25 @@ class GraphEngine:
         return http.cross_service(self.route_records_by_role("server"), (other or self).route_records_by_role("client"), least)
 
     def similar(self, name: str, n: int = 5) -> DataFrame:
-        """Definitions most like a name's first one, by their index vectors."""
-        d = self.graph.nodes.where(F.col("signature").isNotNull())
-        tokens = cut(d.select("id", similarity.semantic_tokens(F.concat_ws(" ", "name", "signature")).alias("tokens")))
-        return similarity.similar_by_name(self.graph, similarity.document_vectors(tokens, similarity.random_index_corpus(tokens)), name, n)
+        """Definitions most like a name's first one, by their stored vectors; a graph that has none gets them first."""
+        if self.graph.embeddings is None or self.graph.embeddings.isEmpty():
+            self._save(self.relate(self.graph))
+        return similarity.similar_by_name(self.graph, self.graph.embeddings, name, n)
+
+    # Parts of the store
+
+    def file_paths(self) -> DataFrame:
+        return self.graph.files.select("path")
+
+    def file_record(self, path: str) -> DataFrame:
+        return self.graph.files.where(F.col("path") == path)
+
+    def edge_sources_pointing_to(self, ids: list[str]) -> DataFrame:
+        return incremental.edge_sources_pointing_to(self.graph, self.spark.createDataFrame([(i,) for i in ids], "id string"))
+
+    def delete(self, what: str, value: str) -> None:
+        """Delete by what: nodes_of_kind, edges_of_kind, edges_from (a source), incident (to a node), file (nodes and edges of a path),
+        file_record or coverage (of a path)."""
+        g = incremental.deleted(self.graph, what, value)
+        embeddings, postings = self._kept(g)
+        self._save(replace(g, embeddings=embeddings, postings=postings))

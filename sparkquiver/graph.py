@@ -18,6 +18,9 @@ class Graph:
     edges: DataFrame
     files: DataFrame | None = None
     coverage: DataFrame | None = None
+    #: Vectors (id, vec) of definitions, once they are related; the search index (term, id, tf, length), once it is built.
+    embeddings: DataFrame | None = None
+    postings: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:

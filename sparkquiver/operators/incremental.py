@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquiver.graph import Graph
 from sparkquiver.operators.resolve import last_wins, resolve_references
+from sparkquiver.schema import InvalidRequest
 
 
 def diff_files(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -40,3 +43,30 @@ def replace_files(graph: Graph, paths: DataFrame, nodes: DataFrame, edges: DataF
     all_edges = resolve_references(all_nodes, named.unionByName(edges))
     files = None if graph.files is None else graph.files.join(paths.select("path"), "path", "left_anti")
     return Graph(all_nodes, all_edges, files, graph.coverage)
+
+
+def edge_sources_pointing_to(graph: Graph, ids: DataFrame) -> DataFrame:
+    """(source): each node or name once from which an edge goes to one of ids (id)."""
+    return graph.edges.join(ids.select(F.col("id").alias("target")), "target", "left_semi").select("source").distinct()
+
+
+def deleted(graph: Graph, what: str, value: str) -> Graph:
+    """graph without a part of it: nodes_of_kind (their edges stay, as names), edges_of_kind, edges_from a source, what is incident to
+    a node (the node and its edges), what is in a file, its record, or its coverage."""
+    g, v = graph, F.lit(value)
+    if what == "nodes_of_kind":
+        return replace(g, nodes=g.nodes.where(~F.col("kind").eqNullSafe(v)))
+    if what == "edges_of_kind":
+        return replace(g, edges=g.edges.where(~F.col("kind").eqNullSafe(v)))
+    if what == "edges_from":
+        return replace(g, edges=g.edges.where(~F.col("source").eqNullSafe(v)))
+    if what == "incident":
+        return replace(g, nodes=g.nodes.where(~F.col("id").eqNullSafe(v)), edges=g.edges.where(~F.col("source").eqNullSafe(v) & ~F.col("target").eqNullSafe(v)))
+    if what == "file":
+        gone = g.nodes.where(F.col("file_path") == v).select("id")
+        edges = g.edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").join(gone.select(F.col("id").alias("target")), "target", "left_anti")
+        return replace(g, nodes=g.nodes.where(~F.col("file_path").eqNullSafe(v)), edges=edges.select(*g.edges.columns))
+    if what in ("file_record", "coverage"):
+        table = "files" if what == "file_record" else "coverage"
+        return replace(g, **{table: getattr(g, table).where(~F.col("path").eqNullSafe(v))})
+    raise InvalidRequest(f"nothing is deleted by {what}")

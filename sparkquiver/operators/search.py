@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkquiver.functions.paths import has_extension, is_test_file
 from sparkquiver.functions.text import search_terms, tokenize_for_search
 from sparkquiver.graph import Graph
+from sparkquiver.operators.components import cut
 from sparkquiver.schema import NOT_DEFINITIONS, SPAN_KINDS, InvalidRequest
 
 K1, B = 1.2, 0.75
@@ -17,11 +18,12 @@ MAX_LINE, MAX_CONTEXT = 4096, 50
 def bm25(docs: DataFrame, id_col: str, terms: Column, query: list[str], limit: int | None) -> DataFrame:
     """(id, score) of the documents that hold every query term, best first; ties by id.
 
-    One pass counts documents, their mean length and each term's documents; a second scores. Both read the scan once and
-    exchange one row a task.
+    Texts are read once: a row's length and term counts are written, then a pass over those counts documents, their mean length
+    and each term's documents, and a second scores.
     """
     query = list(dict.fromkeys(query))
     d = docs.select(F.col(id_col).alias("id"), terms.alias("terms")).select("id", F.size("terms").alias("length"), *[(F.size("terms") - F.size(F.array_remove("terms", t))).alias(f"tf{i}") for i, t in enumerate(query)])
+    d = cut(d)
     total = d.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
     hits = d.where(" and ".join(f"tf{i} > 0" for i in range(len(query)))).join(F.broadcast(total), F.lit(True))
     score = F.lit(0.0)
@@ -43,13 +45,41 @@ def node_terms() -> Column:
     return search_terms(tokenize_for_search(F.col("name"), F.col("qualified_name"), F.col("signature")))
 
 
+def index_nodes(nodes: DataFrame) -> DataFrame:
+    """(term, id, tf, length): the search index of nodes; a node without terms has a row with a null term."""
+    t = nodes.select("id", node_terms().alias("t")).select("id", F.size("t").alias("length"), F.explode_outer("t").alias("term"))
+    return t.groupBy("term", "id", "length").agg(F.count("term").cast("int").alias("tf")).select("term", "id", "tf", "length")
+
+
+def updated_index(index: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The index of nodes `new`, from that of nodes `old`: only nodes that came or changed are read for terms."""
+    said = lambda d: d.select("id", F.struct("name", "qualified_name", "signature").alias("said"))
+    same = said(old).intersect(said(new)).select("id")
+    return index.join(same, "id", "left_semi").select(*index.columns).unionByName(index_nodes(new.join(same, "id", "left_anti")))
+
+
+def bm25_index(index: DataFrame, query: list[str], limit: int | None) -> DataFrame:
+    """bm25 by an index: the postings of the query's terms are read, and one pass over lengths counts the nodes."""
+    query = list(dict.fromkeys(query))
+    total = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    hit = index.where(F.col("term").isin(*query))
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weighted = hit.join(F.broadcast(df), "term").join(F.broadcast(total), F.lit(True))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    out = weighted.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("terms")).where(F.col("terms") == len(query))
+    out = out.select("id", "score").orderBy(F.round(F.col("score"), 9).desc(), "id")
+    return out if limit is None else out.limit(limit)
+
+
 def search_nodes(graph: Graph, text: str, limit: int = 50) -> DataFrame:
-    """Nodes whose name, qualified name or signature hold all terms of the query; the newest nodes where it has none."""
+    """Nodes whose name, qualified name or signature hold all terms of the query; the newest nodes where it has none. A graph with an
+    index is searched by it."""
     terms = query_terms(graph.spark, text)
     if not terms:
         return search_recent(graph, limit)
-    found = bm25(graph.nodes, "id", node_terms(), terms, limit)
-    return graph.nodes.join(F.broadcast(found), "id").orderBy(F.round("score", 9).desc(), "id")
+    found = bm25(graph.nodes, "id", node_terms(), terms, limit) if graph.postings is None else bm25_index(graph.postings, terms, limit)
+    return graph.nodes.join(found, "id").orderBy(F.round("score", 9).desc(), "id")
 
 
 def search_recent(graph: Graph, limit: int = 50) -> DataFrame:

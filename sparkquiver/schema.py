@@ -10,6 +10,9 @@ NODE = (
 EDGE = "id string, source string, target string, kind string, line int, col int, metadata string, provenance string, seq bigint"
 FILE = "path string, language string, mtime bigint, content_hash string, indexed_at bigint"
 COVERAGE = "path string, language string, status string, reason string, size_bytes bigint, indexed_at bigint"
+EMBEDDING = "id string, vec array<double>"
+#: The search index: a term of a node, how often the node has it, and how many terms the node has.
+POSTING = "term string, id string, tf int, length int"
 
 #: Kinds that a definition search leaves out.
 NOT_DEFINITIONS = ("file", "import", "export")

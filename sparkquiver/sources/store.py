@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from sparkquiver import schema
 from sparkquiver.graph import Graph, complete, empty_graph
+from sparkquiver.operators.search import index_nodes
 from sparkquiver.schema import StorageError
 
-TABLES = {"nodes": schema.NODE, "edges": schema.EDGE, "files": schema.FILE, "coverage": schema.COVERAGE}
+TABLES = {"nodes": schema.NODE, "edges": schema.EDGE, "files": schema.FILE, "coverage": schema.COVERAGE, "embeddings": schema.EMBEDDING, "postings": schema.POSTING}
 
 
 class GraphStore:
-    """nodes and edges are written partitioned by kind, their commonest filter."""
+    """nodes and edges are written partitioned by kind, their commonest filter; the search index is kept with them."""
 
     def __init__(self, spark: SparkSession, path: str | Path, read_only: bool = False) -> None:
         self.spark, self.path, self.read_only = spark, Path(path), read_only
@@ -35,7 +36,9 @@ class GraphStore:
         if v is None:
             return empty_graph(self.spark)
         at = self.path / f"v{v}"
-        return Graph(**{n: complete(self.spark.read.schema(ddl).parquet(str(at / n)), ddl) for n, ddl in TABLES.items()})
+        # A store of an earlier form has no vectors and no index.
+        there = {n: ddl for n, ddl in TABLES.items() if n in ("nodes", "edges", "files", "coverage") or (at / n).exists()}
+        return Graph(**{n: complete(self.spark.read.schema(ddl).parquet(str(at / n)), ddl) for n, ddl in there.items()})
 
     def write(self, graph: Graph) -> int:
         if self.read_only:
@@ -44,6 +47,8 @@ class GraphStore:
         at = self.path / f"v{v}"
         for n, ddl in TABLES.items():
             df = getattr(graph, n)
+            if n == "postings":  # sorted by term, so that a query reads the row groups of its terms
+                df = (index_nodes(graph.nodes) if df is None else df).repartitionByRange("term").sortWithinPartitions("term")
             df = self.spark.createDataFrame([], ddl) if df is None else complete(df, ddl)
             w = df.write.mode("overwrite")
             (w.partitionBy("kind") if n in ("nodes", "edges") else w).parquet(str(at / n))

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sparkquiver.engine import parse_files
 from sparkquiver.functions.paths import language_of
 from sparkquiver.graph import Graph
-from sparkquiver.operators import incremental
+from sparkquiver.operators import incremental, search
 from sparkquiver.operators.resolve import last_wins
 from sparkquiver.sources.store import GraphStore
 
@@ -26,6 +26,8 @@ def index_stream(changes: DataFrame, store: GraphStore, checkpoint: str, **trigg
         nodes, edges, coverage = parse_files(files)
         g = store.read()
         out = incremental.replace_files(g, last.select("path"), nodes, edges)
-        store.write(Graph(out.nodes, out.edges, out.files, g.coverage.join(last.select("path"), "path", "left_anti").unionByName(coverage)))
+        vectors = None if g.embeddings is None else g.embeddings.join(out.nodes.select("id"), "id", "left_semi")  # new ones come with relate
+        index = None if g.postings is None else search.updated_index(g.postings, g.nodes, out.nodes)
+        store.write(Graph(out.nodes, out.edges, out.files, g.coverage.join(last.select("path"), "path", "left_anti").unionByName(coverage), vectors, index))
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

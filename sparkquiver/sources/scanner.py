@@ -124,6 +124,20 @@ def _paren(tokens: list[Token], at: int) -> int:
     return len(tokens) - 1
 
 
+def _declared(tokens: list[Token], found: list[tuple[str, int, int]]) -> set[int]:
+    """Indexes of constructor and destructor names that a C++ class only declares: its own name before a parenthesis, in its body."""
+    out = set()
+    for kind, name, end in found:
+        if kind not in ("class", "struct"):
+            continue
+        depth = 0
+        for i in range(name + 1, end):
+            depth += (tokens[i].text == "{") - (tokens[i].text == "}")
+            if depth == 1 and tokens[i].text == tokens[name].text and tokens[i + 1].text == "(" and tokens[i - 1].text not in ("=", "return", "(", ",", "new"):
+                out.add(i)
+    return out
+
+
 def _calls(tokens: list[Token], family: str, names: set[int]) -> list[tuple[str, int]]:
     out = []
     for i in range(len(tokens) - 1):
@@ -237,49 +251,81 @@ def _modifiers(line_text: str, family: str) -> dict:
     return {"is_exported": exported, "visibility": visibility, "is_async": bool(re.search(r"\basync\b", line_text)), "is_static": bool(re.search(r"\bstatic\b", line_text)), "is_abstract": bool(re.search(r"\babstract\b", line_text))}
 
 
-def parse_file(path: str, source: str, language: str) -> Parsed:
-    """Nodes and edges of one file; calls, imports and heritage aim at names, which resolve_references turns into nodes."""
+#: Statements that import, over as many lines as they take; the module's name is the group.
+_IMPORT = {
+    "rust": re.compile(r"^[ \t]*(?:pub\s+)?use\s+(\w+)\s*;", re.M),
+    "ts": re.compile(r"""^[ \t]*import\b(?:[^;'"()]*?\bfrom\b)?\s*['"]([^'"\n]+)['"]""", re.M),
+    "c": re.compile(r"""^[ \t]*\#[ \t]*include[ \t]*[<"]([^>"\n]+)[>"]""", re.M),
+}
+#: (what inherits, from what) of a heritage clause.
+_HERITAGE = {
+    "rust": re.compile(r"^[ \t]*(?:unsafe\s+)?impl\s*(?:<[^>{]*>)?\s*([\w:]+)(?:<[^>{]*>)?\s+for\s+(\w+)", re.M),
+    "ts": re.compile(r"\bclass\s+(\w+)(?:<[^>{]*>)?\s+extends\s+([\w.]+)"),
+    "c": re.compile(r"\b(?:class|struct)\s+(\w+)(?:\s+final)?\s*:\s*((?:[\w:<>,\s]|::)+?)\s*\{"),
+}
+
+
+def _heritage(source: str, family: str) -> list[tuple[str, str, str, int]]:
+    """(source id, target, kind, line) of what inherits or implements."""
+    out = []
+    for m in _HERITAGE[family].finditer(source):
+        line = source.count("\n", 0, m.start(1)) + 1
+        if family == "rust":
+            out.append((f"struct:{m[2]}", f"trait:{m[1].rpartition('::')[2]}:*", "implements", line))
+        elif family == "ts":
+            out.append((f"class:{m[1]}", f"class:{m[2].rpartition('.')[2]}:*", "extends", line))
+        else:
+            for base in re.sub(r"<[^<>]*>", "", m[2]).split(","):
+                words = [w for w in re.split(r"[\s:]+", base) if w and w not in ("public", "private", "protected", "virtual")]
+                if words:
+                    out.append((f"class:{m[1]}", f"class:{words[-1]}:*", "extends", line))
+    return out
+
+
+def parse_file(path: str, source: str, language: str, unique_ids: bool = False) -> Parsed:
+    """Nodes and edges of one file; calls, imports and heritage aim at names, which resolve_references turns into nodes.
+
+    A node's id is its kind, name and line, which two files may share; with unique_ids the path follows.
+    """
     family, out = _FAMILY[language], Parsed()
     tokens, lines = scan(source), source.split("\n")
     file_id = f"file:{path}"
     module = path.replace("/", "::").replace(".", "")
     out.nodes.append({"id": file_id, "kind": "file", "name": path.rpartition("/")[2], "qualified_name": path, "file_path": path, "language": language, "start_line": 0, "end_line": 0})
 
+    here = f":{path}" if unique_ids else ""
+
     def edge(source_id: str, target: str, kind: str, line: int) -> None:
         out.edges.append({"id": f"{kind}:{path}:{line}:{source_id}:{target}:{len(out.edges)}", "source": source_id, "target": target, "kind": kind, "line": line, "col": 0})
 
-    names = set()
-    for kind, i, end in _definitions(tokens, family):
+    names, definitions = set(), _definitions(tokens, family)
+    for kind, i, end in definitions:
         t = tokens[i]
         names.add(i)
         text = lines[t.line - 1]
         start = t.line
         is_test = family == "rust" and kind == "function" and any("#[test]" in x or "::test]" in x for x in lines[max(0, t.line - 4) : t.line - 1])
-        node_id = f"{kind}:{t.text}:L{start}"
+        node_id = f"{kind}:{t.text}:L{start}{here}"
         extra = metrics(source, tokens[i : end + 1], t.text, family)
         extra["ast_profile"] = " ".join(f"{x:.6f}" for x in ast_profile(tokens[i : end + 1], family))
         out.nodes.append({"id": node_id, "kind": "test" if is_test else kind, "name": t.text, "qualified_name": f"{module}::{t.text}", "file_path": path, "language": language, "start_line": start, "end_line": tokens[end].line, "signature": text.strip()[:120] or None, "extra": extra} | _modifiers(text.split("{")[0], family))
         edge(file_id, node_id, "contains", start)
-    for name, line in _calls(tokens, family, names):
+    for name, line in _calls(tokens, family, names | (_declared(tokens, definitions) if family == "c" else set())):
         edge(file_id, f"function:{name}:*", "calls", line)
-    for n, text in enumerate(lines, 1):
-        m = {"rust": re.match(r"\s*(?:pub\s+)?use\s+(\w+)\s*;", text), "ts": re.match(r"""\s*import\b.*?['"]([^'"]+)['"]""", text), "c": re.match(r"""\s*#\s*include\s*[<"]([^>"]+)[>"]""", text)}[family]
-        if m:
-            node_id = f"import:{m[1]}:L{n}"
-            out.nodes.append({"id": node_id, "kind": "import", "name": m[1], "qualified_name": f"{module}::{m[1]}", "file_path": path, "language": language, "start_line": n, "end_line": n})
-            edge(file_id, f"module:{m[1]}:*", "imports", n)
-        h = re.match(r"\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+(\w+)", text) if family == "rust" else re.match(r".*\bclass\s+(\w+).*?\bextends\s+(\w+)", text) if family == "ts" else None
-        if h and family == "rust":
-            edge(f"struct:{h[2]}", f"trait:{h[1].rpartition('::')[2]}:*", "implements", n)
-        elif h:
-            edge(f"class:{h[1]}", f"class:{h[2]}:*", "extends", n)
+    for m in _IMPORT[family].finditer(source):
+        n = source.count("\n", 0, m.start(1)) + 1
+        node_id = f"import:{m[1]}:L{n}{here}"
+        out.nodes.append({"id": node_id, "kind": "import", "name": m[1], "qualified_name": f"{module}::{m[1]}", "file_path": path, "language": language, "start_line": n, "end_line": n})
+        edge(file_id, f"module:{m[1]}:*", "imports", n)
+    for source_id, target, kind, n in _heritage(source, family):
+        edge(source_id, target, kind, n)
     for r in detect_routes(source):
-        node_id = f"route:server:{r.method}:{re.sub(r'[/:{}<>*? ]', '_', r.path)}:L{r.line}"
+        node_id = f"route:server:{r.method}:{re.sub(r'[/:{}<>*? ]', '_', r.path)}:L{r.line}{here}"
         out.nodes.append({"id": node_id, "kind": "route", "name": r.path, "qualified_name": f"{module}::{r.path}", "file_path": path, "language": language, "start_line": r.line, "end_line": r.line, "extra": {"http.method": r.method, "http.path": r.path, "http.framework": r.framework, "http.role": "server"} | ({"http.handler": r.handler} if r.handler else {})})
         if r.handler:
             edge(node_id, f"function:{r.handler}:*", "route_handler", r.line)
     for c in detect_calls(source):
-        node_id = f"route:client:{c.method}:{re.sub(r'[/:{}<>*? ]', '_', c.path)}:L{c.line}"
+        node_id = f"route:client:{c.method}:{re.sub(r'[/:{}<>*? ]', '_', c.path)}:L{c.line}{here}"
         out.nodes.append({"id": node_id, "kind": "route", "name": c.path, "qualified_name": f"{module}::{c.path}", "file_path": path, "language": language, "start_line": c.line, "end_line": c.line, "extra": {"http.method": c.method, "http.path": c.path, "http.framework": c.framework, "http.role": "client"}})
         inner = [n for n in out.nodes if n["kind"] in ("function", "method", "constructor") and n["start_line"] <= c.line <= n["end_line"]]
         source_id = min(inner, key=lambda n: (n["end_line"] - n["start_line"], n["id"]))["id"] if inner else file_id

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquiver.schema import StorageError
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; fall back to a temporary one only where none is named."""
+    """Use the shared folder that the cluster names. Where none is named, only a single process, as in tests, gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise StorageError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"quiver-ckpt-{os.getpid()}-"))
 
 
@@ -23,12 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of an undirected edge; component is the smallest node reachable.
 
     Alternating large-star and small-star rounds: each is one aggregation and one join, so a round costs a
     constant number of shuffles and the number of rounds is logarithmic in the longest path. Self loops, repeated edges
-    and nulls are dropped; an empty edge table gives an empty result.
+    and nulls are dropped; an empty edge table gives an empty result. Components that still change after max_rounds are an error.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -46,6 +57,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if before == tuple(now):
             break
         before = tuple(now)
+    else:
+        raise StorageError(f"components still change after {max_rounds} rounds")
     out = e.groupBy("u").agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct().join(out.select(F.col("u").alias("node")), "node", "left_anti")
     return out.select(F.col("u").alias("node"), "component").unionByName(roots.select("node", F.col("node").alias("component")))

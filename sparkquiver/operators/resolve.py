@@ -20,13 +20,18 @@ def resolve_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     wanted = F.when(F.col("target").startswith("*"), F.element_at(parts, -1)).otherwise(F.try_element_at(parts, F.lit(-2)))
     file_of = nodes.select(F.col("id").alias("source"), F.col("file_path").alias("source_file"))
     key = todo.withColumn("simple", wanted).join(file_of, "source", "left")
+    key = key.withColumn("directory", F.regexp_replace("source_file", "[^/]*$", ""))
     simple = F.element_at(F.split("name", "::"), -1)
-    candidates = nodes.select(simple.alias("simple"), F.col("id").alias("found"), F.col("file_path").alias("found_file"), F.col("seq").alias("found_seq"))
-    directory = F.regexp_replace("source_file", "[^/]*$", "")
-    rank = F.when(F.col("found_file") == F.col("source_file"), 0).when((directory != "") & F.col("found_file").startswith(directory), 1).otherwise(2)
-    # The best candidate is an aggregate, so a name with very many nodes is combined before the shuffle.
-    best = key.join(candidates, "simple").groupBy("id", "seq").agg(F.min(F.struct(rank.alias("rank"), "found_seq", "found")).alias("b")).select("id", "seq", F.col("b.found").alias("found"))
-    key = key.drop("simple").join(best, ["id", "seq"], "left")
+    named = nodes.select(simple.alias("simple"), "file_path", F.struct("seq", "id").alias("at"))
+    # The best node of a name in each file, under each directory and anywhere: aggregates first, so that a name that very many
+    # nodes and edges share meets as one row a file, and never as their product.
+    by_file = named.groupBy("simple", "file_path").agg(F.min("at").alias("at"))
+    parts_of = F.split("file_path", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts_of) - 1), lambda n: F.concat(F.array_join(F.slice(parts_of, 1, n), "/"), F.lit("/")))
+    under = by_file.where(F.contains("file_path", F.lit("/"))).select("simple", F.explode(ancestors).alias("directory"), "at").groupBy("simple", "directory").agg(F.min("at").alias("near"))
+    anywhere = by_file.groupBy("simple").agg(F.min("at").alias("any"))
+    key = key.join(by_file.select("simple", F.col("file_path").alias("source_file"), F.col("at").alias("here")), ["simple", "source_file"], "left").join(under, ["simple", "directory"], "left").join(anywhere, "simple", "left")
+    key = key.withColumn("found", F.coalesce("here.id", "near.id", "any.id")).drop("simple", "directory", "here", "near", "any")
     inner = nodes.where(F.col("kind").isin("function", "method", "test")).select(F.col("file_path").alias("source_file"), F.col("id").alias("inner"), "start_line", "end_line", F.col("seq").alias("inner_seq"))
     moved = key.where(F.col("source").startswith("file:") & F.col("found").isNotNull()).join(inner, "source_file").where("line between start_line and end_line")
     moved = moved.groupBy("id", "seq").agg(F.min(F.struct("inner_seq", "inner")).alias("m")).select("id", "seq", F.col("m.inner").alias("inner"))

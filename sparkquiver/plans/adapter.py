@@ -6,11 +6,14 @@ ordered parts are edges. GRAPH_SQL is the same graph as DuckDB common table expr
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquiver import schema
 from sparkquiver.graph import Graph, complete
+from sparkquiver.operators.components import ensure_checkpoint_dir
 
 _LANGUAGES = ("rust", "typescript", "javascript", "c", "cpp")
 
@@ -63,14 +66,14 @@ def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
         return complete(out, schema.EDGE)
 
     of = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    o1 = t["orders"].where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"))
+    o1 = t["orders"].select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"))
     o2 = t["orders"].select((F.col("o_orderkey") - 1).alias("k"), F.col("o_custkey").alias("b"))
     calls = edge(o1.join(o2, "k"), "calls", of("function", "a"), of("function", "b"), F.col("k") % 1000 + 1, 1, F.col("k"))
-    line = t["lineitem"].where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey")
-    trade = line.where("l_partkey % 10 = 0").join(t["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey")
+    trade = line.join(t["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     trade = trade.join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     imports = edge(trade, "imports", of("module", "c_nationkey"), of("module", "s_nationkey"), F.lit(1), 2, F.col("l_orderkey"))
-    references = edge(line.where("l_orderkey % 10 = 0"), "references", of("method", "l_orderkey"), of("class", "l_partkey"), F.lit(2), 3, F.col("l_orderkey"))
+    references = edge(line, "references", of("method", "l_orderkey"), of("class", "l_partkey"), F.lit(2), 3, F.col("l_orderkey"))
     contains = edge(t["nation"], "contains", of("namespace", "n_regionkey"), of("module", "n_nationkey"), F.lit(0), 4, F.col("n_nationkey").cast("bigint"))
     contains = contains.unionByName(edge(t["customer"], "contains", of("module", "c_nationkey"), of("function", "c_custkey"), F.lit(0), 5, F.col("c_custkey")))
     contains = contains.unionByName(edge(t["supplier"], "contains", of("module", "s_nationkey"), of("struct", "s_suppkey"), F.lit(0), 6, F.col("s_suppkey")))
@@ -79,6 +82,27 @@ def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges, files, document_coverage(spark, sf_dir))
 
 
+#: Where this process has written a graph: (application, folder of tables) to folder.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """table_graph, written once an application to the checkpoint folder, nodes and edges by kind, and read from there: a query
+    scans the kinds and columns that it needs instead of joining the tables again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        ensure_checkpoint_dir(spark)
+        at = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/graph-{uuid.uuid4().hex}"
+        g = table_graph(spark, sf_dir)
+        for name in ("nodes", "edges"):
+            getattr(g, name).write.partitionBy("kind").parquet(f"{at}/{name}")
+        g.files.write.parquet(f"{at}/files")
+        _WRITTEN[key] = at
+    at = _WRITTEN[key]
+    nodes, edges, files = (complete(spark.read.schema(ddl).parquet(f"{at}/{n}"), ddl) for n, ddl in (("nodes", schema.NODE), ("edges", schema.EDGE), ("files", schema.FILE)))
+    return Graph(nodes, edges, files, document_coverage(spark, sf_dir))
+
+
 def document_coverage(spark: SparkSession, sf_dir: str, most: int = 8000) -> DataFrame:
     """Documents as files: those over a size are skipped."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -108,9 +132,9 @@ nodes AS (
     coalesce(is_exported, false) AS is_exported, k % 3 = 0 AS is_async, segment, CASE WHEN kind = 'function' THEN (k % 10)::VARCHAR END AS cyclomatic, base * 10000000000 + k AS seq
   FROM raw_nodes),
 edges AS (
-  SELECT 'function:' || a.o_custkey AS source, 'function:' || b.o_custkey AS target, 'calls' AS kind, (a.o_orderkey % 1000 + 1)::INT AS line, 10000000000 + a.o_orderkey AS seq FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 10 = 0
-  UNION ALL SELECT 'module:' || c_nationkey, 'module:' || s_nationkey, 'imports', 1, 20000000000 + l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND l_partkey % 10 = 0
-  UNION ALL SELECT 'method:' || l_orderkey, 'class:' || l_partkey, 'references', 2, 30000000000 + l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0
+  SELECT 'function:' || a.o_custkey AS source, 'function:' || b.o_custkey AS target, 'calls' AS kind, (a.o_orderkey % 1000 + 1)::INT AS line, 10000000000 + a.o_orderkey AS seq FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1
+  UNION ALL SELECT 'module:' || c_nationkey, 'module:' || s_nationkey, 'imports', 1, 20000000000 + l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  UNION ALL SELECT 'method:' || l_orderkey, 'class:' || l_partkey, 'references', 2, 30000000000 + l_orderkey FROM lineitem
   UNION ALL SELECT 'namespace:' || n_regionkey, 'module:' || n_nationkey, 'contains', 0, 40000000000 + n_nationkey FROM nation
   UNION ALL SELECT 'module:' || c_nationkey, 'function:' || c_custkey, 'contains', 0, 50000000000 + c_custkey FROM customer
   UNION ALL SELECT 'module:' || s_nationkey, 'struct:' || s_suppkey, 'contains', 0, 60000000000 + s_suppkey FROM supplier)

@@ -137,24 +137,22 @@ def _type_of(value: object) -> str:
 
 
 def condition(p: Predicate, bound: set[str], mode: str) -> Column:
+    """A filter's condition, where null keeps no row, as bare as a scan can take it."""
     value, kind = _prop(p.var, p.prop, bound)
     sane = mode == "sane"
     yes, no = F.lit(True), F.lit(False)
     if p.op in ("STARTS_WITH", "CONTAINS"):
         if kind != "string" or not isinstance(p.value, str):
             return no
-        hit = value.startswith(p.value) if p.op == "STARTS_WITH" else value.contains(p.value)
-        return F.coalesce(hit, no)
+        return value.startswith(p.value) if p.op == "STARTS_WITH" else value.contains(p.value)
     if p.op == "IN":
         same = [v for v in p.value if v is not None and _type_of(v) == kind]
-        return F.coalesce(value.isin(*same), no) if same else no
+        return value.isin(*same) if same else no
     literal = _type_of(p.value)
     if literal == kind and kind != "null":
         v = F.lit(p.value)
         hit = {"=": value == v, "!=": value != v, "<": value < v, "<=": value <= v, ">": value > v, ">=": value >= v}[p.op]
-        if sane or p.op in ("=", "!=", "<", ">"):
-            return F.coalesce(hit, no)
-        return F.coalesce(hit, yes)
+        return hit if sane or p.op in ("=", "!=", "<", ">") else hit | value.isNull()
     if sane:
         return no
     if p.op in ("<=", ">="):

@@ -12,7 +12,7 @@ from sparkquiver.functions import hashes, paths, text, vectors
 from sparkquiver.graph import Graph, complete
 from sparkquiver.operators import analytics, architecture, http, incremental, resolve, search, similarity, traverse
 from sparkquiver.operators.architecture import Scoped
-from sparkquiver.plans.adapter import GRAPH_SQL, document_path, table_graph
+from sparkquiver.plans.adapter import GRAPH_SQL, document_path, stored_graph
 from sparkquiver.plans.compiler import run_cypher
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,7 @@ def query(sql: str | None = None, graph: bool = True):
     """Register a function of (graph) or of (spark, sf_dir) under its name."""
 
     def add(f):
-        QUERIES[f.__name__] = (lambda spark, sf_dir: f(table_graph(spark, sf_dir))) if graph else f
+        QUERIES[f.__name__] = (lambda spark, sf_dir: f(stored_graph(spark, sf_dir))) if graph else f
         if sql is not None:
             ORACLE[f.__name__] = (GRAPH_SQL if graph else "") + sql
         return f
@@ -32,7 +32,7 @@ def query(sql: str | None = None, graph: bool = True):
 
 
 def cypher(name: str, statement: str, sql: str, mode: str = "strict") -> None:
-    QUERIES[name] = lambda spark, sf_dir: run_cypher(table_graph(spark, sf_dir), statement, mode)
+    QUERIES[name] = lambda spark, sf_dir: run_cypher(stored_graph(spark, sf_dir), statement, mode)
     ORACLE[name] = GRAPH_SQL + sql
 
 
@@ -73,6 +73,7 @@ cypher("cypher_limit_count", "MATCH (n:Function) RETURN COUNT(*) AS c LIMIT 7",
 cypher("cypher_count_with_item", "MATCH (n:Module) RETURN n.name AS name, COUNT(*) AS c", "SELECT name, 1::BIGINT AS c FROM nodes WHERE kind = 'module'")
 cypher("cypher_sane_group", "MATCH (m:Module)-[:Contains]->(f:Function) RETURN m.name AS name, COUNT(*) AS c", "SELECT a.name, count(*) AS c " + _EDGE + " WHERE e.kind = 'contains' AND a.kind = 'module' AND b.kind = 'function' GROUP BY a.id, a.name", "sane")
 cypher("cypher_sane_distinct", "MATCH (a:Module)-[:IMPORTS]->(b:Module) RETURN DISTINCT a.name AS a, b.name AS b", "SELECT DISTINCT a.name AS a, b.name AS b " + _EDGE + " WHERE e.kind = 'imports'", "sane")
+cypher("cypher_strict_distinct", "MATCH (a:Module)-[:IMPORTS]->(b:Module) RETURN DISTINCT a.name AS a, b.name AS b", "SELECT a.name AS a, b.name AS b " + _EDGE + " WHERE e.kind = 'imports'")
 cypher("cypher_order_limit", "MATCH (n:Class) RETURN n.name AS name, n.id AS id ORDER BY n.start_line DESC LIMIT 25", "SELECT name, id FROM nodes WHERE kind = 'class' ORDER BY start_line DESC, seq LIMIT 25")
 _WALK = "walk(s, t, d) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'function' UNION SELECT s, e.target, d + 1 FROM walk JOIN edges e ON e.source = t AND e.kind = 'calls' WHERE d < {hi})"
 cypher("cypher_varlen_1_3", "MATCH (a:Function)-[:CALLS*1..3]->(b:Function) RETURN a.id AS a, b.id AS b", ", " + _WALK.format(hi=3) + " SELECT DISTINCT s AS a, t AS b FROM walk JOIN nodes b ON b.id = t WHERE d BETWEEN 1 AND 3 AND b.kind = 'function'")
@@ -164,6 +165,13 @@ def impact(g):
     return traverse.impact_analysis(g, "function:10", 3).select("role", "id", F.col("depth").cast("long").alias("depth"))
 
 
+@query(_DIST.format(steps=_FORWARD, depth=1).replace("module:8", "struct:7") + " SELECT n.id AS node_id, e.kind AS edge_kind, (l.d + 1)::BIGINT AS depth FROM least_d l JOIN edges e ON e.source = l.id JOIN nodes n ON n.id = e.target WHERE l.d < 2 UNION ALL SELECT n.id, e.kind, 1 FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'struct:7'")
+def trace_relations(g):
+    """Both ways from a supplier: two levels of what it reaches and one of what reaches it."""
+    out, back = traverse.relations(g, "struct:7", 2, "outbound"), traverse.relations(g, "struct:7", 1, "inbound")
+    return out.unionByName(back).select("node_id", "edge_kind", F.col("depth").cast("long").alias("depth"))
+
+
 # Analytics ------------------------------------------------------------------------------------------------------------
 
 _ENTRY = "(name IN ('main', 'index', '__init__') OR file_path ILIKE '%/bin/%' OR file_path ILIKE '%/main.%' OR file_path ILIKE '%/index.%' OR is_exported OR coalesce(visibility IN ('public', 'pub'), false))"
@@ -199,12 +207,12 @@ def dead_code_report(g):
 
 @query("SELECT sum((n_chars <= 8000)::INT)::BIGINT AS indexed, sum((n_chars > 8000)::INT)::BIGINT AS skipped, 0::BIGINT AS parse_error FROM documents WHERE source ILIKE 'SRC1%'", graph=False)
 def coverage(spark, sf_dir):
-    return analytics.coverage_counts(table_graph(spark, sf_dir), "SRC1")
+    return analytics.coverage_counts(stored_graph(spark, sf_dir), "SRC1")
 
 
 @query("SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, lang AS language, 'skipped' AS status, 'file too large' AS reason, n_chars AS size_bytes FROM documents WHERE n_chars > 8000", graph=False)
 def coverage_skipped(spark, sf_dir):
-    return analytics.coverage_entries(table_graph(spark, sf_dir))
+    return analytics.coverage_entries(stored_graph(spark, sf_dir))
 
 
 # Architecture ---------------------------------------------------------------------------------------------------------
@@ -345,6 +353,12 @@ def code_search(spark, sf_dir):
     return r.select("node_id", "file_path", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), "match_count")
 
 
+@query(f"WITH x AS (SELECT 1){_HITS}, f AS (SELECT doc_id, file_path, min(line) AS line FROM hits GROUP BY doc_id, file_path, (line - 1) // 3) SELECT f.file_path, f.line::BIGINT AS line, array_to_string(lines[greatest(1, f.line - 2):f.line + 2], chr(10)) AS snippet, 'definition' AS hit_kind FROM f JOIN ({_SPANS}) s ON s.doc_id = f.doc_id", graph=False)
+def code_search_snippets(spark, sf_dir):
+    g, files = _document_graph(spark, sf_dir)
+    return search.code_search(g, files, "that from", limit=1 << 30, context=2).select("file_path", F.col("line").cast("long").alias("line"), "snippet", "hit_kind")
+
+
 @query(f"WITH x AS (SELECT 1){_HITS}, c AS (SELECT doc_id - doc_id % 10 AS d, count(*) AS n FROM documents GROUP BY 1) SELECT 'chunk_' || h.doc_id || '_' || ((line - 1) // 3) AS node_id, file_path, min(line)::BIGINT AS line, CASE WHEN h.doc_id % 10 = 0 AND (line - 1) // 3 = 0 THEN any_value(c.n) ELSE 0 END AS in_degree FROM hits h LEFT JOIN c ON c.d = h.doc_id GROUP BY h.doc_id, (line - 1) // 3, file_path ORDER BY in_degree DESC, file_path, line LIMIT 10", graph=False)
 def code_search_top(spark, sf_dir):
     g, files = _document_graph(spark, sf_dir)
@@ -360,9 +374,10 @@ def enclosing_node(g):
 # Scalars --------------------------------------------------------------------------------------------------------------
 
 
-@query("WITH w AS (SELECT doc_id, array_to_string(string_split(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' ')[1:6], '') AS w FROM documents), t AS (SELECT doc_id, list_filter(string_split(lower(replace(regexp_replace(ltrim(w, '_'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' ')), ' '), lambda x: x <> '') AS a FROM w) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: i = 1 OR a[i - 1] <> x), ' ') AS tokens FROM t", graph=False)
+@query("WITH w AS (SELECT doc_id, array_to_string(string_split(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' '), '_') AS w FROM documents), t AS (SELECT doc_id, list_filter(string_split(lower(replace(regexp_replace(ltrim(w, '_'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' ')), ' '), lambda x: x <> '') AS a FROM w) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: i = 1 OR a[i - 1] <> x), ' ') AS tokens FROM t", graph=False)
 def tokenize_identifier(spark, sf_dir):
-    word = F.array_join(F.slice(F.split(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), " "), 1, 6), "")
+    """Each whole text as one identifier of many words."""
+    word = F.array_join(F.split(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), " "), "_")
     return docs(spark, sf_dir).select("doc_id", text.tokenize_identifier(word).alias("tokens"))
 
 
@@ -456,11 +471,12 @@ def diffuse(spark, sf_dir):
 
 @query(graph=False)
 def minhash(spark, sf_dir):
-    d = docs(spark, sf_dir)
+    # Hashing is the cost, so a table of few splits is dealt to the cores first.
+    d = docs(spark, sf_dir).select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
     return d.select("doc_id", hashes.minhash(F.split("text", "[ \n]+")).alias("minhash"))
 
 
-@query(graph=False)
+@query("WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::UHUGEINT) AS bytes FROM documents) SELECT doc_id, format('{:016x}', list_reduce(list_prepend(14695981039346656037::UHUGEINT, bytes), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS hash FROM b", graph=False)
 def content_hash_fnv(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", hashes.content_hash("text").alias("hash"))
 
@@ -479,12 +495,7 @@ def random_index_corpus(spark, sf_dir):
 
 @query()
 def semantic_edges(g):
-    n = g.nodes.where("kind in ('module', 'struct')")
-    # The name makes most of the text, so that nodes of one nation or one number are alike.
-    sig = similarity.signatures_of(n, F.concat_ws(" ", "name", F.translate("file_path", "/.", "  "), "signature"))
-    vec = similarity.document_vectors(sig, similarity.random_index_corpus(sig, 64), 64)
-    sig = sig.join(vec.withColumnRenamed("vec", "ri_vec"), "id")
-    return similarity.semantic_edges(sig).select("source", "target", F.round("score", 6).alias("score"))
+    return similarity.related(g)[1].select("source", "target", F.round("score", 6).alias("score"))
 
 
 # Construction ---------------------------------------------------------------------------------------------------------

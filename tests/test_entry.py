@@ -14,9 +14,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 DATA = "/root/testdata/sf0.001"
 
 
-def test_entry_works_without_the_llm_subpackage(tmp_path):
-    for p in ("__spark_entry__.py", "sparkquiver"):
-        (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
+@pytest.mark.parametrize("parts", [("__spark_entry__.py", "sparkquiver"), ("__spark_entry__.py", "sparkquiver", "corpus_pipeline.py")])
+def test_entry_works_without_the_llm_subpackage(tmp_path, parts):
+    for p in parts:
+        if (ROOT / p).exists():
+            (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
     shutil.rmtree(tmp_path / "sparkquiver/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     env = os.environ | {"PYTHONPATH": str(tmp_path)}
@@ -30,7 +32,7 @@ def test_nothing_else_imports_the_llm_subpackage():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", ["cypher_edge", "cypher_optional_where", "cypher_union", "blast_both", "arch_structure", "arch_boundaries", "search_bm25", "cross_service", "resolve_references", "enclosing_node"])
+@pytest.mark.parametrize("name", ["cypher_edge", "cypher_optional_where", "cypher_union", "blast_both", "arch_structure", "arch_boundaries", "search_bm25", "cross_service", "resolve_references", "enclosing_node", "code_search_snippets", "trace_relations", "cypher_strict_distinct", "cypher_mixed_ge_null", "tokenize_identifier", "content_hash_fnv"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -40,3 +42,9 @@ def test_oracle(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(names)
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_filters_reach_the_scan(spark):
+    plan = __spark_entry__.queries()["cypher_where_starts"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(file_path,asia/)" in plan and "PartitionFilters: [isnotnull(kind" in plan

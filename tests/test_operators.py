@@ -217,6 +217,37 @@ def test_hashes():
     assert len(v) == 8 and abs(sum(x * x for x in v.values()) - 1) < 1e-9 and v == hashes.random_index_of("foo")
 
 
+def test_hashes_of_batches():
+    rng = random.Random(2)
+    rows = [["".join(rng.choices("abé$", k=rng.choice([0, 1, 5, 47, 48, 49, 300]))) for _ in range(rng.choice([0, 1, 2, 3, 40]))] for _ in range(60)] + [None]
+    assert hashes.minhash_all(rows) == [None if r is None else hashes.minhash_of(r) for r in rows]
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(schema.StorageError):
+        connected_components(path, max_rounds=1)
+
+
+def test_resolution_of_names_that_many_share(spark):
+    """The caller's file first, then what lies under its directory, then any; against a plain search."""
+    rng = random.Random(8)
+    files = ["a.rs", "x/a.rs", "x/b.rs", "x/y/c.rs", "z/d.rs"]
+    nodes = [fn(f"n{i}", rng.choice(files)) | {"name": rng.choice(["new", "ns::new", "get", "own"])} for i in range(60)]
+    edges = [{"id": f"e{k}", "source": f"n{rng.randrange(60)}", "target": rng.choice(["function:new:*", "*:get", "function:none:*", "x:own:*"]), "kind": "calls"} for k in range(80)]
+    g = from_rows(spark, nodes, edges)
+    where = {n["id"]: n["file_path"] for n in nodes}
+    want = {}
+    for e in edges:
+        parts, file = e["target"].split(":"), where[e["source"]]
+        name = parts[-1] if e["target"].startswith("*") else parts[-2]
+        same = [n for n in nodes if n["name"].split("::")[-1] == name]
+        folder = file[: file.rfind("/") + 1]
+        rank = lambda n: 0 if n["file_path"] == file else 1 if folder and n["file_path"].startswith(folder) else 2  # noqa: B023, E731
+        want[e["id"]] = min(same, key=lambda n: (rank(n), nodes.index(n)))["id"] if same else e["target"]
+    assert {r["id"]: r["target"] for r in resolve.resolve_references(g.nodes, g.edges).collect()} == want
+
+
 def test_content_hash(spark):
     df = spark.createDataFrame([("",), ("a",), ("foobar",), (None,)], "t string").select(hashes.content_hash("t"))
     assert [r[0] for r in df.collect()] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8", None]

@@ -126,12 +126,12 @@ raw_nodes AS (
   UNION ALL SELECT 'function', c_custkey, c_name, r || '/' || n || '/' || CASE WHEN c_mktsegment = 'MACHINERY' THEN 'bin/' ELSE '' END || lower(coalesce(c_mktsegment, 'x')) || '.rs', region, c_acctbal > 9000, c_acctbal > 9500, 3, c_mktsegment FROM customer JOIN place ON c_nationkey = nation
   UNION ALL SELECT 'class', p_partkey, p_name, 'parts/' || replace(replace(lower(p_brand), ' ', '_'), '#', '_') || '.rs', p_partkey % 5, p_size > 40, false, 4, NULL FROM part
   UNION ALL SELECT 'method', o_orderkey, 'order_' || o_orderkey, 'orders/' || lower(o_orderstatus) || '/batch.rs', o_orderkey % 5, false, false, 5, NULL FROM orders),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT kind || ':' || k AS id, kind, name, kind || '::' || name AS qualified_name, file_path, ['rust','typescript','javascript','c','cpp'][(region % 5 + 1)::INT] AS language,
     (k % 1000 + 1)::INT AS start_line, (k % 1000 + 1 + k % 7)::INT AS end_line, 'fn ' || name || '()' AS signature, CASE WHEN public THEN 'pub' END AS visibility,
     coalesce(is_exported, false) AS is_exported, k % 3 = 0 AS is_async, segment, CASE WHEN kind = 'function' THEN (k % 10)::VARCHAR END AS cyclomatic, base * 10000000000 + k AS seq
   FROM raw_nodes),
-edges AS (
+edges AS MATERIALIZED (
   SELECT 'function:' || a.o_custkey AS source, 'function:' || b.o_custkey AS target, 'calls' AS kind, (a.o_orderkey % 1000 + 1)::INT AS line, 10000000000 + a.o_orderkey AS seq FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1
   UNION ALL SELECT 'module:' || c_nationkey, 'module:' || s_nationkey, 'imports', 1, 20000000000 + l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   UNION ALL SELECT 'method:' || l_orderkey, 'class:' || l_partkey, 'references', 2, 30000000000 + l_orderkey FROM lineitem

@@ -177,7 +177,7 @@ def trace_relations(g):
 _ENTRY = "(name IN ('main', 'index', '__init__') OR file_path ILIKE '%/bin/%' OR file_path ILIKE '%/main.%' OR file_path ILIKE '%/index.%' OR is_exported OR coalesce(visibility IN ('public', 'pub'), false))"
 _LOOSE = "(name IN ('main', 'index', '__init__') OR regexp_matches(file_path, '/bin/|main[.]|index[.]') OR is_exported OR coalesce(visibility IN ('public', 'pub'), false))"
 _PKG = "array_to_string(list_slice(string_split({p}, '/'), 1, least(2, len(string_split({p}, '/')) - 1)), '/')"
-_ENDS = ", ends AS (SELECT e.*, s.file_path AS sf, s.language AS sl, t.file_path AS tf FROM edges e JOIN nodes s ON s.id = e.source LEFT JOIN nodes t ON t.id = e.target)"
+_ENDS = ", ends AS MATERIALIZED (SELECT e.*, s.file_path AS sf, s.language AS sl, t.file_path AS tf FROM edges e JOIN nodes s ON s.id = e.source LEFT JOIN nodes t ON t.id = e.target)"
 
 
 @query("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")

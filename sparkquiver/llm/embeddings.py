@@ -173,7 +173,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     star = cut(exact(pivot.hint("merge").join(member.hint("merge"), on).where("a < b").where(near).select("a", "b").distinct(), marked, classes, threshold))
     core = cut(cores(star, threshold))
     release(df.sparkSession)
-    placed = buckets.join(core.hint("merge"), "cls", "left")
+    placed = marked.join(core.hint("merge"), "cls", "left").select("cls", "dim", "low", "high", "core", F.posexplode("keys").alias("band", "key"))
     left = placed.select(*on, F.col("cls").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("core").alias("p"))
     right = placed.select(*on, F.col("cls").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("core").alias("q"))
     pairs = left.join(right.hint("merge"), on).where("a < b and not coalesce(p = q, false)").where(near).select("a", "b").distinct()

@@ -7,6 +7,7 @@ ordered parts are edges. GRAPH_SQL is the same graph as DuckDB common table expr
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from sparkquiver import schema
 from sparkquiver.graph import Graph, complete
 from sparkquiver.operators.components import ensure_checkpoint_dir
 
+#: Places in seq of one table's rows.
+SEQ_STEP = 10_000_000_000
 _LANGUAGES = ("rust", "typescript", "javascript", "c", "cpp")
 
 
@@ -23,6 +26,16 @@ def _slug(c: Column) -> Column:
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    nodes, edges = (reduce(DataFrame.unionByName, x.values()) for x in graph_parts(spark, sf_dir))
+    return Graph(nodes, edges, _files(nodes), document_coverage(spark, sf_dir))
+
+
+def _files(nodes: DataFrame) -> DataFrame:
+    return complete(nodes.groupBy(F.col("file_path").alias("path")).agg(F.min("language").alias("language")), schema.FILE)
+
+
+def graph_parts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The nodes and the edges of the tables, each by kind."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")}
     language = F.element_at(F.array(*map(F.lit, _LANGUAGES)), (F.col("region") % 5 + 1).cast("int"))
     place = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), _slug(F.col("r_name")).alias("r"), _slug(F.col("n_name")).alias("n"))
@@ -44,7 +57,7 @@ def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
             F.coalesce(exported, F.lit(False)).alias("is_exported"),
             (k % 3 == 0).alias("is_async"),
             (extra if extra is not None else F.create_map().cast("map<string,string>")).alias("extra"),
-            (F.lit(base).cast("bigint") * 10_000_000_000 + k).alias("seq"),
+            (F.lit(base).cast("bigint") * SEQ_STEP + k).alias("seq"),
         )
         return complete(out, schema.NODE)
 
@@ -59,10 +72,10 @@ def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
     customer = node(at(t["customer"], "c_nationkey"), "function", "c_custkey", F.col("c_name"), F.concat_ws("/", "r", "n", F.concat(inside, F.lit(".rs"))), 3, F.col("c_acctbal") > 9000, F.col("c_acctbal") > 9500, extra)
     part = node(t["part"].withColumn("region", F.col("p_partkey") % 5), "class", "p_partkey", F.col("p_name"), F.concat(F.lit("parts/"), F.translate(F.lower("p_brand"), " #", "__"), F.lit(".rs")), 4, F.col("p_size") > 40, no)
     order = node(t["orders"].withColumn("region", F.col("o_orderkey") % 5), "method", "o_orderkey", F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")), F.concat(F.lit("orders/"), F.lower("o_orderstatus"), F.lit("/batch.rs")), 5, no, no)
-    nodes = region.unionByName(nation).unionByName(supplier).unionByName(customer).unionByName(part).unionByName(order)
+    nodes = {"namespace": region, "module": nation, "struct": supplier, "function": customer, "class": part, "method": order}
 
     def edge(df: DataFrame, kind: str, source: Column, target: Column, line: Column, base: int, key: Column) -> DataFrame:
-        out = df.select(F.concat(F.lit(f"{kind}:"), key.cast("string"), F.lit(":"), target).alias("id"), source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), line.cast("int").alias("line"), (F.lit(base).cast("bigint") * 10_000_000_000 + key).alias("seq"))
+        out = df.select(_edge_id(F.lit(kind), key, target).alias("id"), source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), line.cast("int").alias("line"), (F.lit(base).cast("bigint") * SEQ_STEP + key).alias("seq"))
         return complete(out, schema.EDGE)
 
     of = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
@@ -70,16 +83,19 @@ def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
     o2 = t["orders"].select((F.col("o_orderkey") - 1).alias("k"), F.col("o_custkey").alias("b"))
     calls = edge(o1.join(o2, "k"), "calls", of("function", "a"), of("function", "b"), F.col("k") % 1000 + 1, 1, F.col("k"))
     line = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey")
-    trade = line.join(t["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    trade = trade.join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    # Orders take their customer's nation first, so that the lines, which are most, are shuffled once.
+    placed = t["orders"].select("o_orderkey", "o_custkey").join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    trade = line.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     imports = edge(trade, "imports", of("module", "c_nationkey"), of("module", "s_nationkey"), F.lit(1), 2, F.col("l_orderkey"))
     references = edge(line, "references", of("method", "l_orderkey"), of("class", "l_partkey"), F.lit(2), 3, F.col("l_orderkey"))
     contains = edge(t["nation"], "contains", of("namespace", "n_regionkey"), of("module", "n_nationkey"), F.lit(0), 4, F.col("n_nationkey").cast("bigint"))
     contains = contains.unionByName(edge(t["customer"], "contains", of("module", "c_nationkey"), of("function", "c_custkey"), F.lit(0), 5, F.col("c_custkey")))
     contains = contains.unionByName(edge(t["supplier"], "contains", of("module", "s_nationkey"), of("struct", "s_suppkey"), F.lit(0), 6, F.col("s_suppkey")))
-    edges = calls.unionByName(imports).unionByName(references).unionByName(contains)
-    files = complete(nodes.groupBy(F.col("file_path").alias("path")).agg(F.min("language").alias("language")), schema.FILE)
-    return Graph(nodes, edges, files, document_coverage(spark, sf_dir))
+    return nodes, {"calls": calls, "imports": imports, "references": references, "contains": contains}
+
+
+def _edge_id(kind: Column, key: Column, target: Column) -> Column:
+    return F.concat(kind, F.lit(":"), key.cast("string"), F.lit(":"), target)
 
 
 #: Where this process has written a graph: (application, folder of tables) to folder.
@@ -88,18 +104,24 @@ _WRITTEN: dict[tuple[str, str], str] = {}
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """table_graph, written once an application to the checkpoint folder, nodes and edges by kind, and read from there: a query
-    scans the kinds and columns that it needs instead of joining the tables again."""
+    scans the kinds and columns that it needs instead of joining the tables again.
+
+    Each kind is a write of its own into its partition's folder: a write that splits rows by kind sorts all that a task has first.
+    An edge's id, which its other columns give, is made on reading."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         ensure_checkpoint_dir(spark)
         at = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/graph-{uuid.uuid4().hex}"
-        g = table_graph(spark, sf_dir)
-        for name in ("nodes", "edges"):
-            getattr(g, name).write.partitionBy("kind").parquet(f"{at}/{name}")
-        g.files.write.parquet(f"{at}/files")
+        nodes, edges = graph_parts(spark, sf_dir)
+        for kind, df in nodes.items():
+            df.drop("kind").write.parquet(f"{at}/nodes/kind={kind}")
+        for kind, df in edges.items():
+            df.drop("kind", "id").write.parquet(f"{at}/edges/kind={kind}")
+        _files(spark.read.schema(schema.NODE).parquet(f"{at}/nodes")).write.parquet(f"{at}/files")
         _WRITTEN[key] = at
     at = _WRITTEN[key]
     nodes, edges, files = (complete(spark.read.schema(ddl).parquet(f"{at}/{n}"), ddl) for n, ddl in (("nodes", schema.NODE), ("edges", schema.EDGE), ("files", schema.FILE)))
+    edges = edges.withColumn("id", _edge_id(F.col("kind"), F.col("seq") % SEQ_STEP, F.col("target")))
     return Graph(nodes, edges, files, document_coverage(spark, sf_dir))
 
 

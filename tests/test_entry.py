@@ -48,3 +48,17 @@ def test_oracle(spark, name):
 def test_filters_reach_the_scan(spark):
     plan = __spark_entry__.queries()["cypher_where_starts"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(file_path,asia/)" in plan and "PartitionFilters: [isnotnull(kind" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_the_stored_graph_is_the_tables_graph_written_without_a_sort_by_kind(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from sparkquiver.plans import adapter
+
+    monkeypatch.setattr(adapter, "_WRITTEN", {})
+    monkeypatch.delattr(DataFrameWriter, "partitionBy")
+    got, want = adapter.stored_graph(spark, DATA), adapter.table_graph(spark, DATA)
+    for name in ("nodes", "edges", "files"):
+        a, b = (getattr(g, name).selectExpr("to_json(struct(*)) AS j") for g in (got, want))
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name

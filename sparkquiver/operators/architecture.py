@@ -47,11 +47,12 @@ class Scoped:
 
     @property
     def ends(self) -> DataFrame:
-        """Edges with the file and language of both ends, the target's null where it isn't a node."""
+        """Edges with the file and language of both ends, the target's null where it isn't a node. Parallel edges are one row, n says
+        how many: they are counted before the joins, so that a node which very many of them share is no task's burden."""
         n = self.graph.nodes
         s = n.select(F.col("id").alias("source"), F.col("file_path").alias("source_file"), F.col("language").alias("source_language"))
         t = n.select(F.col("id").alias("target"), F.col("file_path").alias("target_file"))
-        e = self.graph.edges.join(s, "source").join(t, "target", "left")
+        e = self.graph.edges.groupBy("source", "target", "kind").agg(F.count(F.lit(1)).alias("n")).join(s, "source").join(t, "target", "left")
         return e if not self.scope else e.where(self.inside(F.col("source_file")) | F.coalesce(self.inside(F.col("target_file")), F.lit(False)))
 
 
@@ -75,10 +76,12 @@ def overview(s: Scoped) -> DataFrame:
 
 def structure(s: Scoped) -> DataFrame:
     """(path, node_count, edge_count) of each package; its edges join two files of it."""
-    nodes = s.nodes.groupBy(package_of(F.col("file_path")).alias("path")).agg(F.count(F.lit(1)).alias("node_count"))
+    files = s.nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    nodes = files.groupBy(package_of(F.col("file_path")).alias("path")).agg(F.sum("n").alias("node_count"))
     e = s.ends.where(F.col("target_file").isNotNull() & s.inside(F.col("source_file")) & s.inside(F.col("target_file")) & (F.col("source_file") != F.col("target_file")))
-    e = e.select(package_of(F.col("source_file")).alias("path"), package_of(F.col("target_file")).alias("to")).where("path = to")
-    e = e.groupBy("path").agg(F.count(F.lit(1)).alias("edge_count"))
+    e = e.groupBy("source_file", "target_file").agg(F.sum("n").alias("n"))
+    e = e.select(package_of(F.col("source_file")).alias("path"), package_of(F.col("target_file")).alias("to"), "n").where("path = to")
+    e = e.groupBy("path").agg(F.sum("n").alias("edge_count"))
     return nodes.join(e, "path", "left").select("path", "node_count", F.coalesce("edge_count", F.lit(0)).cast("long").alias("edge_count")).orderBy(F.col("node_count").desc(), "path")
 
 
@@ -88,7 +91,7 @@ def packages(s: Scoped, top_n: int = 20) -> DataFrame:
 
 def dependencies(s: Scoped, top_n: int = 20) -> DataFrame:
     e = s.ends.where((F.col("kind") == "imports") & (F.col("source_file") != F.col("target_file")))
-    return e.groupBy(F.col("source_file").alias("from_file"), F.col("target_file").alias("to_file")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "from_file", "to_file").limit(max(1, top_n))
+    return e.groupBy(F.col("source_file").alias("from_file"), F.col("target_file").alias("to_file")).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "from_file", "to_file").limit(max(1, top_n))
 
 
 def routes(s: Scoped, strict: bool = False) -> DataFrame:
@@ -100,7 +103,7 @@ def routes(s: Scoped, strict: bool = False) -> DataFrame:
 
 def languages(s: Scoped) -> DataFrame:
     n = s.nodes.groupBy("language").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("file_path").alias("files"))
-    e = s.ends.groupBy(F.col("source_language").alias("language")).agg(F.count(F.lit(1)).alias("edges"))
+    e = s.ends.groupBy(F.col("source_language").alias("language")).agg(F.sum("n").alias("edges"))
     return n.join(e, "language", "left").select("language", "nodes", "files", F.coalesce("edges", F.lit(0)).cast("long").alias("edges")).orderBy("language")
 
 
@@ -119,9 +122,9 @@ def hotspots(s: Scoped, top_n: int = 20) -> DataFrame:
 
 def boundaries(s: Scoped, top_n: int = 20) -> DataFrame:
     """(path, outbound, inbound, ratio) of calls between files of different packages; ratio is the outbound share."""
-    e = s.ends.where((F.col("kind") == "calls") & (F.col("source_file") != F.col("target_file"))).select(package_of(F.col("source_file")).alias("p"), package_of(F.col("target_file")).alias("q")).where("p <> q")
-    out = e.groupBy(F.col("p").alias("path")).agg(F.count(F.lit(1)).alias("outbound"))
-    into = e.groupBy(F.col("q").alias("path")).agg(F.count(F.lit(1)).alias("inbound"))
+    e = s.ends.where((F.col("kind") == "calls") & (F.col("source_file") != F.col("target_file"))).select(package_of(F.col("source_file")).alias("p"), package_of(F.col("target_file")).alias("q"), "n").where("p <> q")
+    out = e.groupBy(F.col("p").alias("path")).agg(F.sum("n").alias("outbound"))
+    into = e.groupBy(F.col("q").alias("path")).agg(F.sum("n").alias("inbound"))
     both = out.join(into, "path", "full_outer").select("path", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("outbound", "inbound")])
     return both.withColumn("ratio", F.col("outbound") / (F.col("outbound") + F.col("inbound"))).orderBy((F.col("outbound") + F.col("inbound")).desc(), "path").limit(max(1, top_n))
 

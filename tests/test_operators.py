@@ -301,3 +301,15 @@ def test_random_index_corpus_and_diffusion(spark):
     out = {r["id"]: r["vec"] for r in similarity.diffuse(v, e, 0.5).collect()}
     assert [round(x, 6) for x in out["p"]] == [0.707107, 0.707107] and out["q"] == [0.0, 1.0] and out["r"] == [0.0, 0.0]
     assert {r["id"]: r["vec"] for r in similarity.diffuse(v, e, float("nan")).collect()}["p"] == [1.0, 0.0]
+
+
+def test_parallel_edges_are_counted_before_their_ends_are_joined(spark):
+    nodes = [{"id": i, "kind": "module", "name": i, "file_path": p} for i, p in (("a", "x/y/a.rs"), ("b", "x/y/b.rs"), ("c", "x/z/c.rs"))]
+    ends = [("a", "b")] * 5 + [("a", "c")] * 3 + [("c", "a")] * 2 + [("b", "lost")] + [("lost", "b")]
+    g = from_rows(spark, nodes, [{"source": s, "target": t, "kind": k} for s, t in ends for k in ("imports", "calls")])
+    scoped = architecture.Scoped(g)
+    assert scoped.ends.count() == 8 and scoped.ends.agg({"n": "sum"}).first()[0] == 22
+    assert [tuple(r) for r in architecture.structure(scoped).collect()] == [("x/y", 2, 10), ("x/z", 1, 0)]
+    assert [tuple(r) for r in architecture.dependencies(scoped).collect()] == [("x/y/a.rs", "x/y/b.rs", 5), ("x/y/a.rs", "x/z/c.rs", 3), ("x/z/c.rs", "x/y/a.rs", 2)]
+    assert [tuple(r)[:3] for r in architecture.boundaries(scoped).collect()] == [("x/y", 3, 2), ("x/z", 2, 3)]
+    assert [tuple(r) for r in architecture.languages(scoped).collect()] == [("rust", 3, 3, 22)]

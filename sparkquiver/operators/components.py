@@ -28,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that are few enough to be sent to every task, whatever they are joined with.
+FEW = 10_000
+
+
+def if_few(df: DataFrame) -> DataFrame:
+    """df, broadcast if its rows, of which no more are looked at, are few: what it is joined with isn't shuffled then."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever it lies."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

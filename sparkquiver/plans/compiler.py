@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquiver.graph import Graph
-from sparkquiver.operators.components import cut
+from sparkquiver.operators.components import cut, if_few
 from sparkquiver.plans.ast import Clause, Item, Pattern, Predicate, Query
 from sparkquiver.plans.parser import parse_cypher
 from sparkquiver.schema import ParseError
@@ -104,6 +104,8 @@ def _pattern(graph: Graph, p: Pattern, fields: set[str], only_id: bool = False)
         edges = edges.where(F.col("kind") == p.edge.kind.lower())
     if p.edge.hops is None:
         edges = edges.select("source", "target")
+        # Few nodes can have very many of the edges, which would meet in as few tasks if they were shuffled.
+        start, end = (x if n.label is None else if_few(x) for x, n in ((start, p.start), (end, p.end)))
     else:
         ids = end.select(F.col(f"`{name}`")["id"].alias("id"))
         edges = _walks(start.select(F.col(p.start.var)["id"].alias("seed")), edges.where(F.length("kind") > 0).select("source", "target"), *p.edge.hops, ids)

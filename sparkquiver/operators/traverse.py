@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquiver.graph import Graph
-from sparkquiver.operators.components import cut
+from sparkquiver.operators.components import FEW, cut, if_few
 from sparkquiver.schema import SEED_KINDS, InvalidRequest, NotFound
 
 DIRECTIONS = ("inbound", "outbound", "both")
@@ -28,15 +28,25 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
 
 
 def distances(seeds: DataFrame, steps: DataFrame, depth: int, through: DataFrame | None = None) -> DataFrame:
-    """(id, depth): the least number of steps from any of the seeds (id), up to depth. Where given, only ids of `through` count."""
+    """(id, depth): the least number of steps from any of the seeds (id), up to depth. Where given, only ids of `through` count.
+
+    A level of few nodes is sent to the steps, which are then only scanned; they are told apart and stored for the first level that
+    is larger."""
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    level, steps = seen, cut(steps.where("here is not null and there is not null").distinct())
+    level, steps, stored = seen, steps.where("here is not null and there is not null"), False
+    now = level.count()
     for d in range(1, depth + 1):
-        reached = level.join(steps, F.col("id") == F.col("here")).select(F.col("there").alias("id")).distinct().join(seen, "id", "left_anti")
+        few = now <= FEW
+        if not (few or stored):
+            steps, stored = cut(steps.distinct()), True
+        here = level.select(F.col("id").alias("here"))
+        reached = steps.join(F.broadcast(here) if few else here, "here").select(F.col("there").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         if through is not None:
-            reached = reached.join(through.select("id"), "id", "left_semi")
+            reached = cut(reached)
+            reached = through.select("id").join(if_few(reached), "id", "left_semi").distinct()
         level = cut(reached.withColumn("depth", F.lit(d)))
-        if level.isEmpty():
+        now = level.count()
+        if not now:
             break
         seen = seen.unionByName(level)
     return seen
@@ -80,7 +90,12 @@ def relations(graph: Graph, node_id: str, depth: int, direction: str) -> DataFra
     n = graph.nodes.select(F.col("id").alias("other"), "name", "kind", "qualified_name", "file_path")
     if depth < 1:
         reach = reach.where("false")
-    return reach.join(e, "id").join(n, "other").select(F.col("other").alias("node_id"), "name", "kind", "qualified_name", "file_path", "edge_kind", "edge_line", (F.col("depth") + 1).alias("depth"))
+    # Few nodes can have very many edges between them, which would meet in as few tasks if they were shuffled.
+    reach = if_few(reach)
+    others = cut(e.join(reach.select("id"), "id", "left_semi").select("other").distinct())
+    if others.limit(FEW + 1).count() <= FEW:
+        n = if_few(cut(n.join(F.broadcast(others), "other", "left_semi")))
+    return e.join(reach, "id").join(n, "other").select(F.col("other").alias("node_id"), "name", "kind", "qualified_name", "file_path", "edge_kind", "edge_line", (F.col("depth") + 1).alias("depth"))
 
 
 def callers(graph: Graph, node_id: str, depth: int = 1) -> DataFrame:
@@ -93,7 +108,7 @@ def callees(graph: Graph, node_id: str, depth: int = 1) -> DataFrame:
 
 def incident(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with an end among distinct ids; parallel edges stay."""
-    s, t = ids.select(F.col("id").alias("_s")), ids.select(F.col("id").alias("_t"))
+    s, t = (if_few(ids.select(F.col("id").alias(c))) for c in ("_s", "_t"))
     marked = edges.join(s, F.col("source") == F.col("_s"), "left").join(t, F.col("target") == F.col("_t"), "left")
     return marked.where("_s is not null or _t is not null").select(*edges.columns)
 
@@ -102,7 +117,7 @@ def subgraph(graph: Graph, node_id: str, depth: int = 2) -> Graph:
     """Nodes within depth steps either way, and every edge at one of them; the node itself need not exist."""
     root = graph.spark.createDataFrame([(node_id,)], "id string")
     ids = distances(root, directed(graph.edges, "both"), depth).select("id")
-    nodes = graph.nodes.join(ids, "id", "left_semi")
+    nodes = graph.nodes.join(if_few(ids), "id", "left_semi")
     return Graph(nodes, incident(graph.edges, ids), graph.files, graph.coverage)
 
 
@@ -123,7 +138,7 @@ def impact_analysis(graph: Graph, node_id: str, depth: int) -> DataFrame:
     parts = []
     for role, way in (("caller", "inbound"), ("callee", "outbound")):
         reach = distances(root, directed(graph.edges, way), depth, through=graph.nodes.select("id")).where("depth > 0")
-        parts.append(reach.join(n, "id").select(F.lit(role).alias("role"), "depth", "id", "name", "file_path"))
+        parts.append(n.join(if_few(reach), "id").select(F.lit(role).alias("role"), "depth", "id", "name", "file_path"))
     return parts[0].unionByName(parts[1])
 
 

@@ -313,3 +313,20 @@ def test_parallel_edges_are_counted_before_their_ends_are_joined(spark):
     assert [tuple(r) for r in architecture.dependencies(scoped).collect()] == [("x/y/a.rs", "x/y/b.rs", 5), ("x/y/a.rs", "x/z/c.rs", 3), ("x/z/c.rs", "x/y/a.rs", 2)]
     assert [tuple(r)[:3] for r in architecture.boundaries(scoped).collect()] == [("x/y", 3, 2), ("x/z", 2, 3)]
     assert [tuple(r) for r in architecture.languages(scoped).collect()] == [("rust", 3, 3, 22)]
+
+
+def test_levels_of_few_and_of_many_nodes_are_the_same(spark, monkeypatch):
+    """Steps are stored only for a level that is too large to be sent to them."""
+    from sparkquiver.operators import components
+
+    g = from_rows(spark, [fn(x) for x in "abcdefg"], [call(s, t) for s, t in ("ab", "ac", "bd", "cd", "de", "ef", "ef", "fa", "xa", "gx")])
+    found, stored = [], []
+    monkeypatch.setattr(traverse, "cut", lambda df: stored.append("here" in df.columns) or components.cut(df))
+    for few in (10_000, 1, 0):
+        monkeypatch.setattr(traverse, "FEW", few, raising=False)
+        monkeypatch.setattr(components, "FEW", few, raising=False)
+        stored.clear()
+        rows = [sorted(map(tuple, df.collect())) for df in (traverse.callers(g, "a", 3), traverse.callees(g, "a", 3), traverse.impact_analysis(g, "a", 3), traverse.subgraph(g, "a", 2).edges.select("source", "target", "seq"))]
+        found.append(rows)
+        assert any(stored) == (few < 10_000)
+    assert found[0] == found[1] == found[2]

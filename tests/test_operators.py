@@ -270,6 +270,28 @@ def test_semantic_edges_match_all_pairs(spark):
     assert got == want and want
 
 
+def test_semantic_edges_score_alike_nodes_once(spark):
+    """Many nodes that differ in their name only, some not even in that: the best of each against all pairs, over few scored pairs."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        k = rng.randrange(4)
+        name = "twin" if i % 11 == 0 else f"name{i}" if i % 13 else f"test_{i}"
+        t = ["a", "b", "c", "d"] if k < 3 else [f"own{i}"]
+        rows.append((f"n{i:02}", name, k != 1, k == 2, t, t[:1], sorted(t), [1.0] * 25, [k, 2, 3], [1.0, k / 3], f"src/{i % 2}.rs", i))
+    sig = spark.createDataFrame(rows, "id string, name string, is_exported boolean, is_async boolean, tokens array<string>, api_sig array<string>, data_flow_set array<string>, ast_profile array<double>, minhash array<long>, ri_vec array<double>, module_path string, seq long")
+    a, b = sig.select(F.struct("*").alias("a")), sig.select(F.struct("*").alias("b"))
+    every = a.join(b, F.col("a.id") != F.col("b.id")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.round(similarity.combined_score(), 9).alias("s")).where("s >= 0.75").collect()
+    want = {}
+    for r in sorted(every, key=lambda r: (r["x"], -r["s"], r["y"])):
+        want.setdefault(r["x"], []).append((r["y"], r["s"]))
+    for top in (1, 3, 99):
+        got = {}
+        for r in sorted(similarity.semantic_edges(sig, top=top).collect(), key=lambda r: (r["source"], -round(r["score"], 9), r["target"])):
+            got.setdefault(r["source"], []).append((r["target"], round(r["score"], 9)))
+        assert got == {x: y[:top] for x, y in want.items()} and len(want) > 20
+
+
 def test_empty_graph(spark):
     g = from_rows(spark, [], [])
     assert analytics.stats(g).first()["total_nodes"] == 0

@@ -149,27 +149,19 @@ def layers(graph: Graph, entries: DataFrame, scoped: Column | None = None) -> Da
     nodes = graph.nodes.where(scoped) if scoped is not None else graph.nodes
     calls = cut(calls.join(nodes.select(F.col("id").alias("there")), "there", "left_semi"))
     shortest = cut(distances(entries, calls, 1 << 30))
-    inside = cut(calls.join(shortest.select(F.col("id").alias("here")), "here", "left_semi"))
-    if not _acyclic(inside):
-        return shortest.select("id", F.col("depth").alias("layer"), F.lit(True).alias("cyclic"))
-    best = level = cut(entries.select("id").distinct().withColumn("layer", F.lit(0)))
-    d = 0
-    while True:
-        d += 1
-        level = cut(level.join(inside, F.col("id") == F.col("here")).select(F.col("there").alias("id")).distinct().withColumn("layer", F.lit(d)))
-        if level.isEmpty():
-            break
-        best = cut(best.unionByName(level).groupBy("id").agg(F.max("layer").alias("layer")))
-    return best.select("id", "layer", F.lit(False).alias("cyclic"))
-
-
-def _acyclic(steps: DataFrame) -> bool:
-    """Take away edges into nodes without an outgoing one until none is left or none goes."""
-    before = steps.count()
+    left = cut(calls.join(shortest.select(F.col("id").alias("here")), "here", "left_semi"))
+    # All that is left hangs on entries, so a node that no call leads to is one, and a node whose callers are all gone after d
+    # rounds ends a longest walk of d calls. Each round reads only the calls that are left.
+    found, before, d = [], left.count(), 0
     while before:
-        steps = cut(steps.join(steps.select(F.col("here").alias("there")).distinct(), "there", "left_semi"))
-        now = steps.count()
+        reached = left.select(F.col("there").alias("here")).distinct()
+        rest = cut(left.join(reached, "here", "left_semi"))
+        now = rest.count()
         if now == before:
-            return False
-        before = now
-    return True
+            return shortest.select("id", F.col("depth").alias("layer"), F.lit(True).alias("cyclic"))
+        d += 1
+        found.append(cut(reached.join(rest.select(F.col("there").alias("here")).distinct(), "here", "left_anti").select(F.col("here").alias("id"), F.lit(d).alias("layer"))))
+        left, before = rest, now
+    below = reduce(DataFrame.unionByName, found, shortest.select("id", F.lit(0).alias("layer")).where("false"))
+    top = entries.select("id").distinct().join(below, "id", "left_anti").select("id", F.lit(0).alias("layer"))
+    return below.unionByName(top).select("id", "layer", F.lit(False).alias("cyclic"))

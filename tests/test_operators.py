@@ -352,3 +352,16 @@ def test_levels_of_few_and_of_many_nodes_are_the_same(spark, monkeypatch):
         found.append(rows)
         assert any(stored) == (few < 10_000)
     assert found[0] == found[1]
+
+
+def test_layers_are_longest_walks_from_entries(spark):
+    rng = random.Random(9)
+    steps = {(a, b) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.12}
+    g = from_rows(spark, [fn(f"n{i}", "a.rs") for i in range(30)], [{"id": f"e{a}.{b}", "source": f"n{a}", "target": f"n{b}", "kind": "calls"} for a, b in steps])
+    want = {0: 0, 7: 0, 29: 0}
+    for a, b in sorted(steps):
+        if a in want:
+            want[b] = max(want.get(b, 0), want[a] + 1)
+    entries = spark.createDataFrame([("n0",), ("n7",), ("n29",)], "id string")
+    got = traverse.layers(g, entries).collect()
+    assert {int(r["id"][1:]): r["layer"] for r in got} == want and len(got) == len(want) and not any(r["cyclic"] for r in got)

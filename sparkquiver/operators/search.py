@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkquiver.functions.paths import has_extension, is_test_file
 from sparkquiver.functions.text import search_terms, tokenize_for_search
 from sparkquiver.graph import Graph
-from sparkquiver.operators.components import cut
+from sparkquiver.operators.components import FEW, cut, if_few
 from sparkquiver.schema import NOT_DEFINITIONS, SPAN_KINDS, InvalidRequest
 
 K1, B = 1.2, 0.75
@@ -105,9 +105,11 @@ def enclosing(points: DataFrame, spans: DataFrame, bin_lines: int = 256) -> Data
     """points (file_path, line, ...) with the smallest span around each, or nulls: node_id, node_kind, node_name, node_start.
 
     A range join made an equi-join: spans are put in every bin of lines that they touch, points in theirs, so a file of any
-    size splits into many keys. Of equal spans the smaller id wins.
+    size splits into many keys. Of equal spans the smaller id wins. Few files are sent to the spans, so that those of others aren't
+    shuffled.
     """
-    s = spans.where(F.col("kind").isin(*SPAN_KINDS)).select("file_path", F.col("id").alias("node_id"), F.col("kind").alias("node_kind"), F.col("name").alias("node_name"), F.col("start_line").alias("node_start"), F.col("end_line").alias("_end"))
+    files = if_few(points.select("file_path").distinct())
+    s = spans.join(files, "file_path", "left_semi").where(F.col("kind").isin(*SPAN_KINDS)).select("file_path", F.col("id").alias("node_id"), F.col("kind").alias("node_kind"), F.col("name").alias("node_name"), F.col("start_line").alias("node_start"), F.col("end_line").alias("_end"))
     s = s.withColumn("_bin", F.explode(F.sequence((F.col("node_start") / bin_lines).cast("int"), F.greatest(F.col("node_start"), F.col("_end")).cast("double").__truediv__(bin_lines).cast("int"))))
     p = points.withColumn("_bin", (F.col("line") / bin_lines).cast("int")).withColumn("_p", F.struct("file_path", "line"))
     lines = p.select("file_path", "line", "_bin").distinct()
@@ -116,6 +118,19 @@ def enclosing(points: DataFrame, spans: DataFrame, bin_lines: int = 256) -> Data
     return points.join(best.select("file_path", "line", "b.node_id", "b.node_kind", "b.node_name", "b.node_start"), ["file_path", "line"], "left")
 
 
+def first_rows(ordered: DataFrame, limit: int) -> DataFrame:
+    """The first rows of an ordered table, in order, where they may be very many: no task takes more than its own part of them."""
+    rows = cut(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    over, before = F.lit(False), 0
+    for r in sorted(rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if limit < before + r["n"]:
+            over = (part > r["p"]) | ((part == r["p"]) & (at >= limit - before))
+            break
+        before += r["n"]
+    return rows.where(~over).drop("_at")
+
+
 def code_search(graph: Graph, files: DataFrame, pattern: str, limit: int = 10, context: int = 3, extensions: list[str] | None = None, path_regex: str | None = None, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Lines that hold every word of the pattern, as it is, grouped by enclosing node and file, best first.
 
@@ -140,8 +155,9 @@ def code_search(graph: Graph, files: DataFrame, pattern: str, limit: int = 10, c
     for n in needles:
         hit = hit & F.col("text").contains(n)
     lines = lines.where(hit & (F.length("text") <= MAX_LINE)).select("file_path", (F.col("at") + 1).alias("line"), F.least(*[F.instr("text", n) for n in needles], F.lit(1 << 30)).alias("col") if needles else F.lit(1).alias("col"), F.array_join(F.slice("lines", F.greatest(F.col("at") + 1 - context, F.lit(1)), F.col("at") + 1 + context - F.greatest(F.col("at") + 1 - context, F.lit(1)) + 1), "\n").alias("snippet"))
-    found = enclosing(lines, graph.nodes)
+    found = enclosing(cut(lines), graph.nodes)
     groups = found.groupBy("node_id", "file_path").agg(F.count(F.lit(1)).alias("match_count"), F.min(F.struct("line", "col", "snippet", "node_kind", "node_name")).alias("first"))
     groups = groups.join(in_degree(graph).withColumnRenamed("id", "node_id"), "node_id", "left")
     out = groups.select("node_id", "first.node_name", "file_path", "first.line", "first.col", "first.snippet", "match_count", F.when(F.col("node_id").isNotNull(), "definition").otherwise("usage").alias("hit_kind"), F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"))
-    return out.orderBy(F.when(F.col("hit_kind") == "definition", 0).otherwise(1), F.col("in_degree").desc(), "file_path", "line", "node_id").limit(limit)
+    out = out.orderBy(F.when(F.col("hit_kind") == "definition", 0).otherwise(1), F.col("in_degree").desc(), "file_path", "line", "node_id")
+    return out.limit(limit) if limit <= FEW else first_rows(out, limit)

@@ -365,3 +365,15 @@ def test_layers_are_longest_walks_from_entries(spark):
     entries = spark.createDataFrame([("n0",), ("n7",), ("n29",)], "id string")
     got = traverse.layers(g, entries).collect()
     assert {int(r["id"][1:]): r["layer"] for r in got} == want and len(got) == len(want) and not any(r["cyclic"] for r in got)
+
+
+def test_first_rows_come_from_all_tasks(spark):
+    """A large limit leaves the rows where they were sorted, rather than in one task."""
+    ordered = spark.range(5000).selectExpr("(id * 7919) % 5000 AS k").repartition(6).orderBy("k")
+    for limit in (0, 1, 1700, 4999, 5000, 1 << 30):
+        assert [r["k"] for r in search.first_rows(ordered, limit).collect()] == list(range(min(limit, 5000)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert search.first_rows(ordered, 1 << 30).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 5000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -377,3 +377,13 @@ def test_first_rows_come_from_all_tasks(spark):
         assert search.first_rows(ordered, 1 << 30).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 5000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_minhash_reads_a_batch_in_runs(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = [["a", "b", "c"] * 5, None, [], ["x"], ["y"] * 40, ["z", "w"]]
+    monkeypatch.setattr(hashes, "HELD", 7)
+    seen, whole = [], hashes.minhash_all
+    monkeypatch.setattr(hashes, "minhash_all", lambda r: seen.append(len(r)) or whole(r))
+    assert hashes.minhash.func(pa.array(rows)).to_pylist() == whole(rows) and len(seen) > 2

@@ -83,9 +83,10 @@ def graph_parts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame],
     o2 = t["orders"].select((F.col("o_orderkey") - 1).alias("k"), F.col("o_custkey").alias("b"))
     calls = edge(o1.join(o2, "k"), "calls", of("function", "a"), of("function", "b"), F.col("k") % 1000 + 1, 1, F.col("k"))
     line = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey")
-    # Orders take their customer's nation first, so that the lines, which are most, are shuffled once.
+    # Orders take their customer's nation first, so that the lines, which are most, are shuffled once; they stream past a hash of the
+    # orders of a partition, which is small and even as orders have a key of their own, instead of being sorted.
     placed = t["orders"].select("o_orderkey", "o_custkey").join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    trade = line.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    trade = line.join(placed.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     imports = edge(trade, "imports", of("module", "c_nationkey"), of("module", "s_nationkey"), F.lit(1), 2, F.col("l_orderkey"))
     references = edge(line, "references", of("method", "l_orderkey"), of("class", "l_partkey"), F.lit(2), 3, F.col("l_orderkey"))
     contains = edge(t["nation"], "contains", of("namespace", "n_regionkey"), of("module", "n_nationkey"), F.lit(0), 4, F.col("n_nationkey").cast("bigint"))

@@ -62,3 +62,11 @@ def test_the_stored_graph_is_the_tables_graph_written_without_a_sort_by_kind(spa
     for name in ("nodes", "edges", "files"):
         a, b = (getattr(g, name).selectExpr("to_json(struct(*)) AS j") for g in (got, want))
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_lines_are_not_sorted_for_the_trade_edges(spark):
+    from sparkquiver.plans import adapter
+
+    plan = adapter.graph_parts(spark, DATA)[1]["imports"]._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

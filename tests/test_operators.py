@@ -87,6 +87,15 @@ def test_dead_code(spark):
     assert (row["total_functions"], row["entry_points"], row["dead"]) == (4, 2, 1)
 
 
+def test_dead_code_sorts_no_side(spark):
+    """Nodes stream past the called ones, each told once however many calls reach it."""
+    g = from_rows(spark, [fn("a"), fn("b"), fn("c")], [call("a", "b")] * 50 + [call("b", "gone"), {"id": "n", "source": "a", "target": None, "kind": "calls"}])
+    dead = analytics.dead_code(g)
+    assert ids(dead) == ["a", "c"] and analytics.dead_code_report(g).first()["dead"] == 2
+    plan = dead._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and plan.index("ShuffledHashJoin") < plan.index("HashAggregate")
+
+
 def test_hotspots_and_layers(spark):
     g = from_rows(spark, [fn(x) for x in "abcd"], [call("a", "c"), call("b", "c"), call("b", "d"), call("a", "d"), call("c", "d")])
     assert [(r["id"], r["in_degree"]) for r in architecture.hotspots(Scoped(g), 2).collect()] == [("d", 3), ("c", 2)]

@@ -12,6 +12,7 @@ from sparkquiver.functions import hashes, paths, text, vectors
 from sparkquiver.graph import Graph, complete
 from sparkquiver.operators import analytics, architecture, http, incremental, resolve, search, similarity, traverse
 from sparkquiver.operators.architecture import Scoped
+from sparkquiver.operators.components import stored
 from sparkquiver.plans.adapter import GRAPH_SQL, document_path, stored_graph
 from sparkquiver.plans.compiler import run_cypher
 
@@ -504,7 +505,9 @@ def semantic_edges(g):
 @query(", open_calls AS (SELECT row_number() OVER (ORDER BY seq) AS i, source, target, seq FROM edges WHERE kind = 'calls' ), c AS (SELECT o.source, o.seq, n.name AS wanted, s.file_path AS sf FROM open_calls o JOIN nodes n ON n.id = o.target JOIN nodes s ON s.id = o.source), k AS (SELECT c.seq, c.source, m.id, row_number() OVER (PARTITION BY c.seq ORDER BY CASE WHEN m.file_path = c.sf THEN 0 WHEN starts_with(m.file_path, regexp_replace(c.sf, '[^/]*$', '')) THEN 1 ELSE 2 END, m.seq) AS r FROM c JOIN nodes m ON m.name = c.wanted) SELECT source, id AS target, seq FROM k WHERE r = 1")
 def resolve_references(g):
     name = g.nodes.select(F.col("id").alias("target"), "name")
-    open_ = g.edges.where("kind = 'calls'").join(name, "target").withColumn("target", F.concat(F.lit("function:"), "name", F.lit(":*"))).select(*g.edges.columns)
+    open_ = g.edges.where("kind = 'calls'").join(name, "target").select("source", F.concat(F.lit("function:"), "name", F.lit(":*")).alias("target"), "line", "seq")
+    # Written, as resolution reads open and other edges apart; a call's seq is its own, so it serves as id.
+    open_ = complete(stored(open_).withColumns({"id": F.col("seq").cast("string"), "kind": F.lit("calls")}), schema.EDGE)
     return resolve.resolve_references(g.nodes, open_).select("source", "target", "seq")
 
 

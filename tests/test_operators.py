@@ -257,6 +257,34 @@ def test_resolution_of_names_that_many_share(spark):
     assert {r["id"]: r["target"] for r in resolve.resolve_references(g.nodes, g.edges).collect()} == want
 
 
+def test_resolution_reads_edges_twice(spark):
+    """Once for open edges and once for the others; sources that are files, no nodes or null, and repeated edges, come out right."""
+    nodes = [{"id": "file:x/a.rs", "kind": "file", "name": "x/a.rs", "file_path": "x/a.rs"}, fn("in", "x/a.rs", start_line=3, end_line=9), fn("any", "z.rs") | {"name": "go"}, fn("near", "x/y/b.rs") | {"name": "go"}, fn("root", "") | {"name": "top"}]
+    edges = [
+        {"id": "moved", "source": "file:x/a.rs", "target": "function:go:*", "kind": "calls", "line": 4},
+        {"id": "outside", "source": "file:x/a.rs", "target": "*:go", "kind": "calls", "line": 40},
+        {"id": "lost", "source": "file:x/a.rs", "target": "function:none:*", "kind": "calls", "line": 4},
+        {"id": "foreign", "source": "nobody", "target": "function:go:*", "kind": "calls"},
+        {"id": "null", "source": None, "target": "function:top:*", "kind": "calls"},
+        {"id": "empty", "source": "root", "target": "function:top:*", "kind": "calls"},
+        {"id": "nameless", "source": "in", "target": "function::*", "kind": "calls"},
+        {"id": "twice", "source": "in", "target": "*:go", "kind": "calls"},
+        {"id": "twice", "source": "in", "target": "*:go", "kind": "calls"},
+        call("in", "any") | {"id": "done"},
+    ]
+    g = from_rows(spark, nodes, edges)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    counted = spark.createDataFrame(g.edges.rdd.map(seen), g.edges.schema)
+    got = sorted((r["id"], r["source"], r["target"]) for r in resolve.resolve_references(g.nodes, counted).collect())
+    assert read.value == 2 * len(edges)
+    assert got == [("done", "in", "any"), ("empty", "root", "root"), ("foreign", "nobody", "any"), ("lost", "file:x/a.rs", "function:none:*"), ("moved", "in", "near"), ("nameless", "in", "function::*"), ("null", None, "root"), ("outside", "file:x/a.rs", "near"), ("twice", "in", "near"), ("twice", "in", "near")]
+
+
 def test_content_hash(spark):
     df = spark.createDataFrame([("",), ("a",), ("foobar",), (None,)], "t string").select(hashes.content_hash("t"))
     assert [r[0] for r in df.collect()] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8", None]
